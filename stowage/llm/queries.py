@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, secret_scan, url_filter
+from . import html_text, quality, secret_scan, token_count, url_filter
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; every node has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +24,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("spans_text").alias("spans"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     judged = url_filter.judge(_table(spark, sf_dir, "pages"), labels)
@@ -59,5 +75,5 @@ SELECT parts.page_id, host, path, rule, coalesce(fixed, CASE WHEN upper < 0.5 TH
 FROM parts LEFT JOIN fit USING (page_id) LEFT JOIN rated USING (host)
 """
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op4_html_extraction": op4_html_extraction, "op8_url_filter": op8_url_filter}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_quality, op4_html_extraction, op6_token_counts, op8_url_filter)}
 ORACLE_SQL = {"op8_url_filter": OP8_SQL}
