@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, quality, secret_scan, token_count, url_filter
+from . import html_text, quality, secret_scan, token_count, url_filter, word_bpe
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,6 +43,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
 OP8_SQL = rf"""
 WITH parts AS (
@@ -75,5 +79,5 @@ SELECT parts.page_id, host, path, rule, coalesce(fixed, CASE WHEN upper < 0.5 TH
 FROM parts LEFT JOIN fit USING (page_id) LEFT JOIN rated USING (host)
 """
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_quality, op4_html_extraction, op6_token_counts, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_quality, op4_html_extraction, op6_token_counts, op8_url_filter, op9_bpe_round_trip)}
 ORACLE_SQL = {"op8_url_filter": OP8_SQL}
