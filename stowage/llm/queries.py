@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, nearest, quality, secret_scan, token_count, url_filter, word_bpe
+from . import decontaminate, html_text, nearest, quality, secret_scan, token_count, url_filter, word_bpe
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +41,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     judged = url_filter.judge(_table(spark, sf_dir, "pages"), labels)
@@ -83,5 +87,5 @@ SELECT parts.page_id, host, path, rule, coalesce(fixed, CASE WHEN upper < 0.5 TH
 FROM parts LEFT JOIN fit USING (page_id) LEFT JOIN rated USING (host)
 """
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_quality, op4_html_extraction, op5_nearest, op6_token_counts, op8_url_filter, op9_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_quality, op4_html_extraction, op5_nearest, op6_token_counts, op7_decontamination, op8_url_filter, op9_bpe_round_trip)}
 ORACLE_SQL = {"op8_url_filter": OP8_SQL}
