@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, nearest, quality, secret_scan, token_count, url_filter, word_bpe
+from . import decontaminate, html_text, nearest, quality, secret_scan, substring_dedup, token_count, url_filter, word_bpe
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("spans_text").alias("spans"))
@@ -87,5 +91,14 @@ SELECT parts.page_id, host, path, rule, coalesce(fixed, CASE WHEN upper < 0.5 TH
 FROM parts LEFT JOIN fit USING (page_id) LEFT JOIN rated USING (host)
 """
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_quality, op4_html_extraction, op5_nearest, op6_token_counts, op7_decontamination, op8_url_filter, op9_bpe_round_trip)}
-ORACLE_SQL = {"op8_url_filter": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_quality, op4_html_extraction, op5_nearest, op6_token_counts, op7_decontamination, op8_url_filter, op9_bpe_round_trip)}
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)),
+low AS (SELECT g, min(doc_id) AS m FROM grams GROUP BY g),
+marked AS (SELECT doc_id, list(DISTINCT i) AS starts FROM grams JOIN low USING (g) WHERE m < doc_id GROUP BY doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(a, a + 13)) AS p FROM (SELECT doc_id, unnest(starts) AS a FROM marked)) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(words) AS n, list_filter(words, lambda x, k: NOT list_contains(coalesce(places, []), k)) AS rest FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, (n - len(rest))::BIGINT AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+"""
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
