@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, nearest, quality, secret_scan, substring_dedup, token_count, url_filter, word_bpe
+from . import decontaminate, html_text, near_dedup, nearest, quality, secret_scan, substring_dedup, token_count, url_filter, word_bpe
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,6 +59,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
 OP8_SQL = rf"""
 WITH parts AS (
@@ -91,7 +95,7 @@ SELECT parts.page_id, host, path, rule, coalesce(fixed, CASE WHEN upper < 0.5 TH
 FROM parts LEFT JOIN fit USING (page_id) LEFT JOIN rated USING (host)
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_quality, op4_html_extraction, op5_nearest, op6_token_counts, op7_decontamination, op8_url_filter, op9_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_quality, op4_html_extraction, op5_nearest, op6_token_counts, op7_decontamination, op8_url_filter, op9_bpe_round_trip, op10_near_dedup)}
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 grams AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)),
