@@ -65,6 +65,16 @@ def sketch(value: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
     return out.reshape(rows, t)
 
 
+SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+
+
+def set_key(value: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits that name each text's shingle set, whatever the order."""
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mix(value ^ np.uint64(salt)), out=total[1:])
+    return mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
+
+
 #: Documents of one side of a block in which candidates are compared.
 BLOCK = 512
 #: Sketch agreement under which a pair is no candidate: at similarity 0.8 and 150 coordinates over 5 deviations lower.
@@ -81,10 +91,7 @@ def profiles(docs: DataFrame, k: int, bands: int, per_band: int) -> DataFrame:
             for a, b in slices(texts):
                 value, offsets = shingles(texts[a:b], k)
                 n = np.diff(offsets)
-                keys = []
-                for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                    total = np.concatenate(([0], np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64))).astype(np.uint64)
-                    keys.append(mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64)).view(np.int64))
+                keys = [set_key(value, offsets, salt) for salt in SALTS]
                 s = mix(sketch(value, offsets, t)).astype("<u2")
                 yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), pa.array([x.tobytes() for x in s], pa.binary())], ["doc_id", "n", "key1", "key2", "sketch"])
 
@@ -121,8 +128,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             ids, texts = batch.column(0), text_column(batch)
             for a, b in slices(texts):
                 value, offsets = shingles(texts[a:b], k)
-                total = np.concatenate(([0], np.cumsum(mix(value ^ np.uint64(0x243F6A8885A308D3)), dtype=np.uint64))).astype(np.uint64)
-                key = mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
+                key = set_key(value, offsets, SALTS[0])
                 yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(key), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))], ["node", "key1", "shingles"])
 
     found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(run, "node long, key1 long, shingles array<long>")
