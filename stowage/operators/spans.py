@@ -17,7 +17,7 @@ def with_previous(rows: DataFrame, archive: str, order: list[str], value: str, b
     ``block`` is any expression that does not decrease along the order; rows of one block share a task and blocks
     hand their last value on through a window over one row each."""
     b = rows.withColumn("_b", block)
-    last = b.groupBy(archive, "_b").agg(F.max(F.struct(*order, value)).alias("_l")).select(archive, "_b", F.col(f"_l.{value}").alias("_last"))
+    last = b.groupBy(archive, "_b").agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_l")).select(archive, "_b", F.col("_l._v").alias("_last"))
     handed = last.select(archive, "_b", F.lag("_last").over(Window.partitionBy(archive).orderBy("_b")).alias("_before"))
     w = Window.partitionBy(archive, "_b").orderBy(*order)
     out = b.join(handed, [archive, "_b"]).withColumn("prev", F.coalesce(F.lag(value).over(w), F.col("_before")))
