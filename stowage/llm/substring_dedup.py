@@ -6,8 +6,8 @@ the repeated edges that follow each other in a text form a nonbranching path. Th
 1. Every window is named by the least hash of the 5-word runs in it (its minimizer), which equal windows share.
    Minimizers seen in one document only can't be part of a repeated edge; the others go to a bit set of fixed size.
 2. Windows whose minimizer may be shared are the edges. They meet by hash; each keeps its source coordinates
-   (document, place). Edges that a smaller document also has are marked. Inside a slice of a task this happens
-   before the shuffle, so a passage that a third of all documents share is shuffled once for each slice.
+   (document, place). Edges that a smaller document also has are marked. Inside a batch of a task this happens
+   before the shuffle, so a passage that a third of all documents share is shuffled once for each batch.
 3. The marked edges of a document come back to it by a join on its key, are compacted to paths, and the words that
    the paths cover are removed.
 
@@ -29,8 +29,6 @@ from .common import Words, bitset, has_bits, mix, ngrams, slices, text_column
 WINDOW, SEED = 13, 5
 #: Text bytes whose edges or documents share a bucket.
 BUCKET_BYTES = 8 << 20
-#: Text bytes in which a task looks for repeats before it ships edges.
-LOCAL_BYTES = 4 << 20
 
 
 def _edges(texts: pa.Array, window: int, seed: int):
@@ -74,17 +72,22 @@ def _later(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     return order, d > np.repeat(d[first], np.diff(np.append(first, len(k))))
 
 
-_EDGES = "bucket int, key array<long>, check array<int>, doc array<long>, row array<long>, place array<int>"
-_MARKS = "bucket int, doc array<long>, row array<long>, place array<int>"
-_EDGE_TYPES = [("bucket", pa.int32()), ("key", pa.list_(pa.int64())), ("check", pa.list_(pa.int32())), ("doc", pa.list_(pa.int64())), ("row", pa.list_(pa.int64())), ("place", pa.list_(pa.int32()))]
+_EDGES = "bucket int, key array<long>, check array<int>, place array<int>, doc array<long>, row array<long>, run array<int>"
+_MARKS = "bucket int, place array<int>, doc array<long>, row array<long>, run array<int>"
 
 
-def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[pa.Array, list[pa.Array]]:
-    """Rows gathered to one row a bucket."""
-    order = np.argsort(bucket, kind="stable")
-    names, first = np.unique(bucket[order], return_index=True)
+def _dealt(bucket: np.ndarray, values: list[np.ndarray], doc: np.ndarray, row: np.ndarray) -> list[pa.Array]:
+    """Rows gathered to one row a bucket; document and row are given once for each run of equal ones."""
+    order = np.lexsort((row, doc, bucket))
+    bucket, doc, row = bucket[order], doc[order], row[order]
+    names, first = np.unique(bucket, return_index=True)
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
+    runs = np.flatnonzero(new)
     offsets = pa.array(np.append(first, len(bucket)), pa.int32())
-    return pa.array(names, pa.int32()), [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+    by_run = pa.array(np.append(np.searchsorted(runs, first), len(runs)), pa.int32())
+    lengths = np.diff(np.append(runs, len(bucket))).astype(np.int32)
+    return [pa.array(names, pa.int32()), *(pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in values), *(pa.ListArray.from_arrays(by_run, pa.array(v)) for v in (doc[runs], row[runs], lengths))]
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -95,42 +98,44 @@ def _empty_lists(n: int, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1), pa.int32()), pa.array([], kind))
 
 
+def _flat(table, name: str) -> np.ndarray:
+    return pa.compute.list_flatten(table.column(name)).to_numpy()
+
+
 def repeated_places(docs: DataFrame, buckets: int, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """Marked edges by document bucket: (bucket, doc, row, place), packed in arrays."""
+    """Marked edges by document bucket: (bucket, place, doc, row, run), packed in arrays."""
     bits = docs.sparkSession.sparkContext.broadcast(bitset(shared_minimizers(docs, window, seed), "name"))
+    names = [c.split()[0] for c in _EDGES.split(", ")]
 
     def ship(batches):
         have = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             ids, rows, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_column(batch)
-            for a, b in slices(texts, LOCAL_BYTES):
+            parts = []
+            for a, b in slices(texts):
                 words, h, at, name = _edges(texts[a:b], window, seed)
-                maybe = has_bits(have, name)
-                at = at[maybe]
-                if not len(at):
-                    continue
-                key, check = ngrams(h, window)[at].view(np.int64), (ngrams(h, window, salt=0x6A09E667F3BCC909)[at] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+                at = at[has_bits(have, name)]
                 owner = words.doc[at]
-                doc, row, place = ids[a:b][owner], rows[a:b][owner], (at - words.first[owner]).astype(np.int32)
-                order, later = _later(key, check, doc)
-                sent = np.sort(order[~later])  # of equal edges in this slice, the smallest document's travel
-                marked = np.sort(order[later])
-                names, cols = _dealt(_bucket(key[sent], buckets), [key[sent], check[sent], doc[sent], row[sent], place[sent]])
-                yield pa.RecordBatch.from_arrays([names, *cols], [n for n, _ in _EDGE_TYPES])
-                if len(marked):
-                    names, cols = _dealt(_bucket(doc[marked], buckets), [doc[marked], row[marked], place[marked]])
-                    yield pa.RecordBatch.from_arrays([names, _empty_lists(len(names), pa.int64()), _empty_lists(len(names), pa.int32()), *cols], [n for n, _ in _EDGE_TYPES])
+                parts.append((ngrams(h, window)[at].view(np.int64), (ngrams(h, window, salt=0x6A09E667F3BCC909)[at] & np.uint64(0x7FFFFFFF)).astype(np.int32), (at - words.first[owner]).astype(np.int32), ids[a:b][owner], rows[a:b][owner]))
+            key, check, place, doc, row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([],) * 5
+            if not len(key):
+                continue
+            order, later = _later(key, check, doc)
+            sent, marked = order[~later], order[later]  # of equal edges here, the smallest document's travel
+            yield pa.RecordBatch.from_arrays(_dealt(_bucket(key[sent], buckets), [key[sent], check[sent], place[sent]], doc[sent], row[sent]), names)
+            if len(marked):
+                cols = _dealt(_bucket(doc[marked], buckets), [place[marked]], doc[marked], row[marked])
+                n = len(cols[0])
+                yield pa.RecordBatch.from_arrays([cols[0], _empty_lists(n, pa.int64()), _empty_lists(n, pa.int32()), *cols[1:]], names)
 
     def meet(table: pa.Table) -> pa.Table:
-        lengths = [pa.compute.list_value_length(table.column(c)).to_numpy() for c in ("key", "doc")]
-        flat = {c: pa.compute.list_flatten(table.column(c)).to_numpy() for c in ("key", "check", "doc", "row", "place")}
+        lengths = [pa.compute.list_value_length(table.column(c)).to_numpy() for c in ("key", "place")]
         is_edge = np.repeat(lengths[0] > 0, lengths[1])
-        doc, row, place = flat["doc"], flat["row"], flat["place"]
-        edge_doc = doc[is_edge]
-        order, later = _later(flat["key"], flat["check"], edge_doc)
+        run = _flat(table, "run")
+        doc, row, place = np.repeat(_flat(table, "doc"), run), np.repeat(_flat(table, "row"), run), _flat(table, "place")
+        order, later = _later(_flat(table, "key"), _flat(table, "check"), doc[is_edge])
         keep = np.concatenate((np.flatnonzero(is_edge)[order[later]], np.flatnonzero(~is_edge)))
-        names, cols = _dealt(_bucket(doc[keep], buckets), [doc[keep], row[keep], place[keep]])
-        return pa.table([names, *cols], ["bucket", "doc", "row", "place"])
+        return pa.table(_dealt(_bucket(doc[keep], buckets), [place[keep]], doc[keep], row[keep]), ["bucket", "place", "doc", "row", "run"])
 
     edges = docs.select("doc_id", "row", "text").mapInArrow(ship, _EDGES)
     return edges.groupBy("bucket").applyInArrow(meet, _MARKS)
@@ -183,7 +188,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, full: bool =
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         by: dict = {}
         if len(right):
-            doc, row, place = (pa.compute.list_flatten(right.column(c)).to_numpy() for c in ("doc", "row", "place"))
+            run = _flat(right, "run")
+            doc, row, place = np.repeat(_flat(right, "doc"), run), np.repeat(_flat(right, "row"), run), _flat(right, "place")
             order = np.lexsort((row, doc))
             doc, row, place = doc[order], row[order], place[order]
             new = np.ones(len(doc), bool)
