@@ -95,7 +95,9 @@ def learn(pages: DataFrame, rows: int = 500) -> dict:
     """Weights from at most ``rows`` pages that mark their content with ``<article>``: log odds of words and tags.
 
     The sample (least hash of page_id) is the documented bound of what reaches the driver."""
-    sample = pages.where(F.col("html").contains("<article") & (F.length("html") < 200_000)).orderBy(F.xxhash64("page_id", "html"), "page_id").limit(rows).select("html").collect()
+    sample = pages.where(F.col("html").contains("<article") & (F.length("html") < 200_000)).select("page_id", "html", F.xxhash64("page_id", "html").alias("h"))
+    least = sample.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # hashes are compared, pages stay where they are
+    sample = sample.where(F.col("h") <= (least if least is not None else 0)).orderBy("h", "page_id").limit(rows).select("html").collect()
     inside, outside = Counter(), Counter()
     for r in sample:
         for _, n, tags, boiler, article in blocks(r.html)[0]:
