@@ -77,6 +77,8 @@ def set_key(value: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
 
 #: Documents of one side of a block in which candidates are compared.
 BLOCK = 512
+#: Rows of small block pairs that share a call.
+PACK = 4096
 #: Sketch agreement under which a pair is no candidate: at similarity 0.8 and 150 coordinates over 5 deviations lower.
 LEAST_AGREEMENT = 0.62
 
@@ -192,11 +194,8 @@ def _meeting(own: np.ndarray, i: int, j: int):
 
 
 def _agreeing(percent: int, least: float):
-    def run(key, table):
-        """Each row with a candidate of another component in the block pair, with the least row it hangs together with."""
-        node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "n"))
-        s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(node), -1)
-        left, right = _meeting(table.column("own").to_numpy(), key[1].as_py(), key[2].as_py())
+    def block(node, comp, n, s, own, i, j):
+        left, right = _meeting(own, i, j)
         order = np.argsort(node)
         rank = np.empty(len(node), np.int64)
         rank[order] = np.arange(len(node))
@@ -209,7 +208,21 @@ def _agreeing(percent: int, least: float):
                 b.append(rank[y])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         root, some = _forest(len(node), a, b), np.unique(np.concatenate((a, b)))
-        return pa.table({"node": node[order][some], "hub": node[order][root[some]]})
+        return node[order][some], node[order][root[some]]
+
+    def run(table):
+        """Each row with a candidate of another component in its block pair, with the least row it hangs together with."""
+        cols = {c: table.column(c).to_numpy() for c in ("band", "i", "j", "own", "node", "comp", "n")}
+        s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(cols["node"]), -1)
+        order = np.lexsort((cols["j"], cols["i"], cols["band"]))
+        new = np.ones(len(order), bool)
+        new[1:] = sum(cols[c][order][1:] != cols[c][order][:-1] for c in ("band", "i", "j")) > 0
+        first = np.flatnonzero(new)
+        out = [([], [])]
+        for at in np.split(order, first[1:]):
+            out.append(block(*(cols[c][at] for c in ("node", "comp", "n")), s[at], cols["own"][at], cols["i"][at[0]], cols["j"][at[0]]))
+        node, hub = (np.concatenate([np.asarray(x[k], np.int64) for x in out]) for k in (0, 1))
+        return pa.table({"node": node, "hub": hub})
 
     return run
 
@@ -290,9 +303,14 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int
     comp = components(first)
     # then what is left: buckets that still hold several components
     facts = active.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("node", "n", "sketch", "comp")
-    located = member.join(facts.select("node", "comp"), "node").join(facts.select(F.col("node").alias("pivot"), F.col("comp").alias("main_comp")), "pivot")
+    # a bucket's main component is its pivot's: found on the one row where the pivot stands, not on every member's
+    heads = member.where("node = pivot").join(facts.select("node", F.col("comp").alias("main_comp")), "node").select("band", "main_comp")
+    located = member.join(facts.select("node", "comp"), "node").join(heads, "band")
     dealt = _blocked(located, "band", F.col("comp") == F.col("main_comp"), BLOCK).select("band", "i", "j", "own", "node", "comp")
-    hung = dealt.join(facts.select("node", "n", "sketch"), "node").groupBy("band", "i", "j").applyInArrow(_agreeing(percent, LEAST_AGREEMENT), "node long, hub long")
+    # many block pairs are tiny: some thousand rows of them share a call
+    packs = max(member.count() // PACK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("band", "i", "j"), F.lit(packs)))
+    hung = dealt.join(facts.select("node", "n", "sketch"), "node").groupBy("pack").applyInArrow(_agreeing(percent, LEAST_AGREEMENT), "node long, hub long")
     hung = written(hung.distinct(), "hung")
     cluster = components(hung, "node", "hub").withColumnRenamed("component", "cluster")
     cluster = cluster.join(facts.select("node", "comp"), "node")
