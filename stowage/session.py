@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,3 +40,17 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(target)
         sc._stowage_shipped = True
     return spark
+
+
+def written(df, name: str):
+    """``df`` written to the shared folder and read again, so that plans built on it stay small and work is done once.
+
+    The folder is ``spark.checkpoint.dir``, which all executors share; one is set only where none is (tests)."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = os.path.join(tempfile.gettempdir(), "checkpoints")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
