@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes, numbers, paths
 from ..operators import catalog, compare, placement, spans, textures, validation
+from ..sources import writers
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -461,6 +462,35 @@ def slowest_runs(spark, d):
 
 SLOWEST = "SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 15"
 
+# -- whole archives -----------------------------------------------------------------------------------------------
+def _plan(spark, d, target):
+    """Documents as one archive a language: what its segments sum to, and whether they follow each other without a gap."""
+    docs = _t(spark, d, "documents").select(F.col("lang").alias("archive_id"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("payload"))
+    s = writers.segments(docs, target).select("archive_id", "offset", F.octet_length("data").cast("long").alias("bytes")).withColumn("stop", F.col("offset") + F.col("bytes")).where("bytes > 0")
+    broken = spans.with_previous(s.select("archive_id", "offset", "stop"), "archive_id", ["offset"], "stop", F.floor(F.col("offset") / (1 << 20))).where("coalesce(prev, 0) <> offset").groupBy("archive_id").agg(F.count("*").alias("gaps"))
+    total = s.groupBy("archive_id").agg(F.sum("bytes").cast("long").alias("total_bytes"), F.max("stop").alias("last_byte"))
+    return total.join(broken, "archive_id", "left").na.fill(0, ["gaps"])
+
+
+def archive_plan_gnrl(spark, d):
+    return _plan(spark, d, "fo4")
+
+
+def archive_plan_tes3(spark, d):
+    return _plan(spark, d, "tes3")
+
+
+def archive_plan_tes4(spark, d):
+    return _plan(spark, d, "fo3")
+
+
+_ARCHIVE_FILES = "f AS (SELECT lang AS archive_id, source, doc_id, doc_id || '.txt' AS file, source || '/' || doc_id || '.txt' AS path, text, strlen(text) AS size FROM documents), d AS (SELECT archive_id, sum(size) AS data FROM (SELECT DISTINCT archive_id, text, size FROM f) GROUP BY archive_id)"
+PLAN_GNRL = f"WITH {_ARCHIVE_FILES} SELECT archive_id, (24 + count(*) * 36 + any_value(data) + sum(strlen(path) + 2))::BIGINT AS total_bytes, (24 + count(*) * 36 + any_value(data) + sum(strlen(path) + 2))::BIGINT AS last_byte, 0::BIGINT AS gaps FROM f JOIN d USING (archive_id) GROUP BY archive_id"
+PLAN_TES3 = f"WITH {_ARCHIVE_FILES} SELECT archive_id, (12 + count(*) * 20 + sum(size) + sum(strlen(path) + 1))::BIGINT AS total_bytes, (12 + count(*) * 20 + sum(size) + sum(strlen(path) + 1))::BIGINT AS last_byte, 0::BIGINT AS gaps FROM f GROUP BY archive_id"
+PLAN_TES4 = f"""WITH {_ARCHIVE_FILES}, g AS (SELECT archive_id, sum(18 + strlen(source)) AS folders FROM (SELECT DISTINCT archive_id, source FROM f) GROUP BY archive_id),
+t AS (SELECT archive_id, (36 + any_value(folders) + count(*) * 16 + sum(strlen(file) + 1) + any_value(data))::BIGINT AS n FROM f JOIN d USING (archive_id) JOIN g USING (archive_id) GROUP BY archive_id)
+SELECT archive_id, n AS total_bytes, n AS last_byte, 0::BIGINT AS gaps FROM t"""
+
 _PAIRS = (
     (path_normalize, PATH_NORMALIZE), (path_parts, PATH_PARTS), (destination_safety, DESTINATION_SAFETY), (name_hashes, NAME_HASHES), (numbers_round_trip, NUMBERS),
     (placement_shared, _placement_sql("lang, text", 0)), (placement_unshared, _placement_sql("doc_id", 36)), (placement_constrained, _placement_sql("lang, text, source", 24)), (placement_next_offset, NEXT_OFFSET),
@@ -469,6 +499,7 @@ _PAIRS = (
     (catalog_listing, _CATALOG), (catalog_find, f"SELECT * FROM ({_CATALOG}) WHERE path = 'src1/1.txt'"), (catalog_contains, CATALOG_CONTAINS), (bulk_requests, BULK_REQUESTS), (bulk_outcome, BULK_OUTCOME),
     (folder_failures, FOLDER_FAILURES), (parent_folders, PARENT_FOLDERS), (validation_warnings, VALIDATION_WARNINGS), (first_error_precedence, FIRST_ERROR), (validation_report, VALIDATION_REPORT), (size_bound_filter, SIZE_BOUND),
     (catalog_compare, CATALOG_COMPARE), (baseline_verify, BASELINE_VERIFY), (payload_digest, PAYLOAD_DIGEST), (run_best, RUN_BEST), (run_speedup, RUN_SPEEDUP), (multiset_compare, MULTISET), (slowest_runs, SLOWEST),
+    (archive_plan_gnrl, PLAN_GNRL), (archive_plan_tes3, PLAN_TES3), (archive_plan_tes4, PLAN_TES4),
 )
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLE_SQL = {f.__name__: sql for f, sql in _PAIRS}
