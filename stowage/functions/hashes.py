@@ -22,8 +22,13 @@ def _long(x: int) -> Column:
 
 def name_bytes(name: Column) -> Column:
     """Bytes of a name as longs, A-Z in lower case."""
-    data = F.encode(F.translate(name, UPPER, LOWER), "UTF-8")
-    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), lambda i: i <= F.octet_length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    one_each = F.decode(F.encode(F.translate(name, UPPER, LOWER), "UTF-8"), "ISO-8859-1")  # a character for each byte
+    return F.transform(F.filter(F.split(one_each, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def low32(h: Column) -> Column:
@@ -62,9 +67,11 @@ def _xor_fold(data: Column, rotate: bool) -> Column:
 
 def hash_tes3(name: Column) -> Column:
     """Over the name as stored; separators are not folded."""
-    data = name_bytes(name)
-    half = F.floor(F.size(data) / 2).cast("int")
-    return joined(_xor_fold(F.slice(data, F.lit(1), half), False), _xor_fold(F.slice(data, half + 1, F.size(data)), True))
+    def halves(data: Column) -> Column:
+        half = F.floor(F.size(data) / 2).cast("int")
+        return joined(_xor_fold(F.slice(data, F.lit(1), half), False), _xor_fold(F.slice(data, half + 1, F.size(data)), True))
+
+    return bound(name_bytes(name), halves)
 
 
 def _multiply_fold(data: Column) -> Column:
@@ -73,33 +80,44 @@ def _multiply_fold(data: Column) -> Column:
 
 def hash_tes4(stem: Column, extension: Column) -> Column:
     """Of a file stem and its extension with the dot, or of a folder with an empty extension."""
-    name, ext = name_bytes(stem), name_bytes(extension)
-    n = F.size(name)
-    low = F.element_at(name, -1).bitwiseOR(F.when(n > 2, F.shiftleft(F.element_at(name, F.greatest(n - 1, F.lit(1))), 8)).otherwise(0))
-    low = low.bitwiseOR(F.shiftleft(n.cast("long"), 16).bitwiseAND(_long(M32))).bitwiseOR(F.shiftleft(F.element_at(name, 1), 24))
     first4 = F.substring(F.translate(extension, UPPER, LOWER), 1, 4)
     bits = _long(0)
     for e, b in EXTENSION_BITS.items():
         bits = F.when(first4 == e, _long(b)).otherwise(bits)
-    high = (_multiply_fold(F.slice(name, F.lit(2), F.greatest(n - 3, F.lit(0)))) + _multiply_fold(ext)).bitwiseAND(_long(M32))
-    return F.when(n == 0, _long(0)).otherwise(joined(high, low.bitwiseOR(bits)))
+    ext = _multiply_fold(name_bytes(extension))
+
+    def parts(name: Column) -> Column:
+        n = F.size(name)
+        low = F.element_at(name, -1).bitwiseOR(F.when(n > 2, F.shiftleft(F.element_at(name, F.greatest(n - 1, F.lit(1))), 8)).otherwise(0))
+        low = low.bitwiseOR(F.shiftleft(n.cast("long"), 16).bitwiseAND(_long(M32))).bitwiseOR(F.shiftleft(F.element_at(name, 1), 24))
+        high = (_multiply_fold(F.slice(name, F.lit(2), F.greatest(n - 3, F.lit(0)))) + ext).bitwiseAND(_long(M32))
+        return F.when(n == 0, _long(0)).otherwise(joined(high, low.bitwiseOR(bits)))
+
+    return bound(name_bytes(stem), parts)
 
 
 def hash_fo4(name: Column) -> Column:
     """Reflected CRC-32 that starts from 0 and is not inverted; bytes over 127 are skipped, ``/`` counts as ``\\``."""
     data = F.filter(name_bytes(F.translate(name, "/", "\\")), lambda b: b <= 127)
-
-    def bit(v: Column, _: Column) -> Column:
-        half = F.shiftrightunsigned(v, 1)
-        return F.when(v.bitwiseAND(_long(1)) == 1, half.bitwiseXOR(_long(POLY))).otherwise(half)
+    table = F.array(*(_long(x) for x in _crc_table()))
 
     def step(h: Column, b: Column) -> Column:
-        entry = F.aggregate(F.sequence(F.lit(1), F.lit(8)), h.bitwiseXOR(b).bitwiseAND(_long(0xFF)), bit)
-        return F.shiftrightunsigned(h, 8).bitwiseXOR(entry)
+        at = h.bitwiseXOR(b).bitwiseAND(_long(0xFF)).cast("int")
+        return F.shiftrightunsigned(h, 8).bitwiseXOR(F.element_at(table, at + 1))
 
     return F.aggregate(data, _long(0), step)
 
 
+def _crc_table() -> list[int]:
+    """Remainder of each byte, by eight steps of the reflected polynomial."""
+    out = []
+    for v in range(256):
+        for _ in range(8):
+            v = v >> 1 ^ POLY * (v & 1)
+        out.append(v)
+    return out
+
+
 def extension_magic(extension: Column) -> Column:
     """First four bytes of an extension, lower case, as a little-endian number."""
     data = F.slice(name_bytes(extension), F.lit(1), F.lit(4))
