@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 HEADER = 148
 #: Pixel formats by number: name, bytes a block, pixels along a block's side (fixed values of the format).
 FORMATS = (
-    (28, "R8G8B8A8_UNORM", 4, 1), (29, "R8G8B8A8_UNORM_SRGB", 4, 1), (56, "R16_UNORM", 2, 1), (61, "R8_UNORM", 1, 1),
-    (71, "BC1_UNORM", 8, 4), (72, "BC1_UNORM_SRGB", 8, 4), (74, "BC2_UNORM", 16, 4), (77, "BC3_UNORM", 16, 4), (78, "BC3_UNORM_SRGB", 16, 4),
-    (80, "BC4_UNORM", 8, 4), (83, "BC5_UNORM", 16, 4), (87, "B8G8R8A8_UNORM", 4, 1), (95, "BC6H_UF16", 16, 4), (98, "BC7_UNORM", 16, 4), (99, "BC7_UNORM_SRGB", 16, 4),
+    (28, "R8G8B8A8_UNORM", 4, 1), (29, "R8G8B8A8_UNORM_SRGB", 4, 1), (31, "R8G8B8A8_SNORM", 4, 1), (61, "R8_UNORM", 1, 1), (71, "BC1_UNORM", 8, 4),
+    (72, "BC1_UNORM_SRGB", 8, 4), (77, "BC3_UNORM", 16, 4), (80, "BC4_UNORM", 8, 4), (83, "BC5_UNORM", 16, 4), (84, "BC5_SNORM", 16, 4),
+    (87, "B8G8R8A8_UNORM", 4, 1), (95, "BC6H_UF16", 16, 4), (96, "BC6H_SF16", 16, 4), (98, "BC7_UNORM", 16, 4), (99, "BC7_UNORM_SRGB", 16, 4),
 )
 
 
@@ -52,9 +52,9 @@ def rollup(chunks: DataFrame, *keys: str) -> DataFrame:
 
 
 def default_ranges(width: Column, height: Column, mips: Column, singles: int = 3, least: int = 512) -> Column:
-    """Mip ranges of a texture: up to ``singles`` leading mips of at least ``least`` squared pixels stand alone, the
-    rest forms a tail. Array of (first, last)."""
-    alone = F.size(F.filter(F.sequence(F.lit(0), F.lit(singles - 1)), lambda m: (m < mips - 1) & (mip_dimension(width, m) * mip_dimension(height, m) >= least * least)))
+    """Mip ranges of a texture: up to ``singles`` leading mips whose sides are ``least`` or more stand alone, the rest
+    forms a tail. Array of (first, last)."""
+    alone = F.size(F.filter(F.sequence(F.lit(0), F.lit(singles - 1)), lambda m: (m < mips - 1) & (mip_dimension(width, m) >= least) & (mip_dimension(height, m) >= least)))
     lone = F.filter(F.transform(F.sequence(F.lit(0), F.lit(singles - 1)), lambda m: F.struct(m.alias("first"), m.alias("last"))), lambda r: r["first"] < alone)
     return F.concat(lone, F.array(F.struct(alone.alias("first"), (mips - 1).cast("int").alias("last"))))
 

@@ -239,7 +239,7 @@ def mip_ranges(spark, d):
 
 MIP_RANGES = f"""
 WITH {_PARTS_SQL},
-a AS (SELECT *, len([m FOR m IN range(0, 3) IF greatest(w >> m::INT, 1) * greatest(h >> m::INT, 1) >= 262144]) AS alone FROM p),
+a AS (SELECT *, len([m FOR m IN range(0, 3) IF greatest(w >> m::INT, 1) >= 512 AND greatest(h >> m::INT, 1) >= 512]) AS alone FROM p),
 r AS (SELECT *, unnest(list_concat([{{'f': m, 'l': m}} FOR m IN range(0, alone)], [{{'f': alone, 'l': 8}}])) AS r FROM a)
 SELECT p_partkey, r.f::BIGINT AS first_mip, r.l::BIGINT AS last_mip, list_sum([ceil(greatest(w >> m::INT, 1) / bs) * ceil(greatest(h >> m::INT, 1) / bs) * bb FOR m IN range(r.f, r.l + 1)])::BIGINT AS range_bytes FROM r"""
 
@@ -473,15 +473,15 @@ def _plan(spark, d, target):
 
 
 def archive_plan_gnrl(spark, d):
-    return _plan(spark, d, "fo4")
+    return _plan(spark, d, "ba2-gnrl-fo4")
 
 
 def archive_plan_tes3(spark, d):
-    return _plan(spark, d, "tes3")
+    return _plan(spark, d, "bsa-tes3")
 
 
 def archive_plan_tes4(spark, d):
-    return _plan(spark, d, "fo3")
+    return _plan(spark, d, "bsa-fo3")
 
 
 _ARCHIVE_FILES = "f AS (SELECT lang AS archive_id, source, doc_id, doc_id || '.txt' AS file, source || '/' || doc_id || '.txt' AS path, text, strlen(text) AS size FROM documents), d AS (SELECT archive_id, sum(size) AS data FROM (SELECT DISTINCT archive_id, text, size FROM f) GROUP BY archive_id)"

@@ -20,12 +20,20 @@ from ..session import written
 
 #: Target formats: token -> (family, version, codec of compressed payloads) (fixed values of the formats).
 TARGETS = {
-    "tes3": ("tes3", 256, "none"), "tes4": ("tes4", 103, "zlib"), "fo3": ("tes4", 104, "zlib"), "sse": ("tes4", 105, "lz4_frame"),
-    "fo4": ("gnrl", 1, "zlib"), "sf2": ("gnrl", 2, "zlib"), "sf3": ("gnrl", 3, "lz4_block"),
-    "fo4dds": ("dx10", 1, "zlib"), "sf2dds": ("dx10", 2, "zlib"), "sf3dds": ("dx10", 3, "lz4_block"),
+    "bsa-tes3": ("tes3", 256, "none"), "bsa-oblivion": ("tes4", 103, "zlib"), "bsa-fo3": ("tes4", 104, "zlib"), "bsa-sse": ("tes4", 105, "lz4_frame"),
+    "ba2-gnrl-fo4": ("gnrl", 1, "zlib"), "ba2-gnrl-sf-v2": ("gnrl", 2, "zlib"), "ba2-gnrl-sf-v3": ("gnrl", 3, "lz4_block"),
+    "ba2-dx10-fo4": ("dx10", 1, "zlib"), "ba2-dx10-sf-v2": ("dx10", 2, "zlib"), "ba2-dx10-sf-v3": ("dx10", 3, "lz4_block"),
 }
-#: File-class bits of the record-table family by extension (fixed values of the format).
-FILE_CLASSES = {".nif": 1, ".dds": 2, ".xml": 4, ".wav": 8, ".mp3": 16, ".fuz": 16, ".xwm": 16, ".txt": 32, ".html": 32, ".bat": 32, ".scc": 32, ".spt": 64, ".tex": 128, ".fnt": 128, ".ctl": 256}
+
+
+def file_classes(version: int) -> dict[str, int]:
+    """File-class bits of the record-table family by extension (fixed values of the format)."""
+    out = {".nif": 1, ".kf": 1, ".dds": 2, ".wav": 4, ".pex": 8, ".psc": 8}
+    if version == 103:
+        out[".xml"] = 16
+    if version != 105:
+        out |= dict.fromkeys((".txt", ".html", ".bat", ".scc"), 256)
+    return out
 
 
 def problems(entries: DataFrame) -> DataFrame:
@@ -57,7 +65,7 @@ def _segment(df: DataFrame, offset, data: Column) -> DataFrame:
     return df.select("archive_id", (offset if isinstance(offset, Column) else F.col(offset)).cast("long").alias("offset"), data.alias("data"))
 
 
-def gnrl_segments(entries: DataFrame, target: str = "fo4", share: bool = True) -> DataFrame:
+def gnrl_segments(entries: DataFrame, target: str = "ba2-gnrl-fo4", share: bool = True) -> DataFrame:
     """``entries(archive_id, path, payload[, compress])`` as a general BA2 archive each."""
     _, version, codec = TARGETS[target]
     e = written(_ordered(written(_prepared(entries, codec), "prepared"), F.col("canonical")), "ordered")
@@ -103,7 +111,7 @@ def tes3_segments(entries: DataFrame) -> DataFrame:
     return head
 
 
-def tes4_segments(entries: DataFrame, target: str = "sse", share: bool = True) -> DataFrame:
+def tes4_segments(entries: DataFrame, target: str = "bsa-sse", share: bool = True) -> DataFrame:
     """The record-table family: folders by hash, files by hash within a folder."""
     _, version, codec = TARGETS[target]
     width = 24 if version == 105 else 16
@@ -118,7 +126,7 @@ def tes4_segments(entries: DataFrame, target: str = "sse", share: bool = True) -
     f = placement.running_offset(f, "archive_id", "first", "block", "block_at")
     f = written(placement.running_offset(f, "archive_id", "first", "one", "k"), "folders")
     bit = F.lit(0)
-    for ext, b in FILE_CLASSES.items():
+    for ext, b in file_classes(version).items():
         bit = F.when(paths.extension(F.col("file")) == ext, b).otherwise(bit)
     total = e.groupBy("archive_id").agg(F.count("*").alias("n"), F.sum("name_bytes").alias("names"), F.bit_or(bit).cast("long").alias("classes"))
     total = total.join(f.groupBy("archive_id").agg(F.count("*").alias("folders"), F.sum("folder_bytes").alias("folder_names"), F.sum("block").alias("blocks")), "archive_id")
@@ -145,7 +153,7 @@ def tes4_segments(entries: DataFrame, target: str = "sse", share: bool = True) -
     return head
 
 
-def dx10_segments(chunks: DataFrame, target: str = "fo4dds", share: bool = True) -> DataFrame:
+def dx10_segments(chunks: DataFrame, target: str = "ba2-dx10-fo4", share: bool = True) -> DataFrame:
     """Texture archives from ``chunks(archive_id, path, nth, start_mip, end_mip, payload, width, height, mip_count,
     dxgi_format, is_cubemap)``; every chunk is compressed, equal chunks of equal facts are stored once."""
     _, version, codec = TARGETS[target]

@@ -27,7 +27,7 @@ def canonical(p):
     return p.replace("\\", "/").lower()
 
 
-@pytest.mark.parametrize(("target", "compress"), [("tes3", False), ("fo3", True), ("sse", True), ("fo4", False), ("sf3", True)])
+@pytest.mark.parametrize(("target", "compress"), [("bsa-tes3", False), ("bsa-fo3", True), ("bsa-sse", True), ("ba2-gnrl-fo4", False), ("ba2-gnrl-sf-v3", True)])
 def test_round_trip(spark, tmp_path, target, compress):
     files = sample()
     suffix = ".ba2" if writers.TARGETS[target][0] == "gnrl" else ".bsa"
@@ -39,11 +39,11 @@ def test_round_trip(spark, tmp_path, target, compress):
     assert archives.checked(rows).count() == 0
     e = archives.entries(rows)
     assert {r.path for r in e.collect()} == set(map(canonical, files))
-    assert e.where("path = 'textures/a.dds' or path = 'textures/b.dds'").select("payload_offset").distinct().count() == (2 if target == "tes3" else 1)
+    assert e.where("path = 'textures/a.dds' or path = 'textures/b.dds'").select("payload_offset").distinct().count() == (2 if target == "bsa-tes3" else 1)
     assert archives.identity_mismatch(e).where("record_identity_mismatch").count() == 0
     got = {r.path: (bytes(r.content), r.failure) for r in extract.payloads(e).collect()}
     assert got == {canonical(p): (b, None) for p, b in files.items()}
-    if target == "tes3":
+    if target == "bsa-tes3":
         assert {r.failure for r in writers.write(writers.segments(frame(spark, files), target), str(tmp_path), suffix).collect()} == {"exists"}
         assert archives.read_archives_from_store(spark, str(tmp_path)).where("kind = 'entry'").count() == len(files)
 
@@ -53,7 +53,7 @@ def test_textures(spark, tmp_path):
     names = ["T/X.dds", "T/X.dds", "t/y.dds", "t/z.dds", "t/z.dds"]
     rows = [("tex", n, i, s, e, bytearray(b), 8, 8, 3, 28, False) for n, (i, s, e, b) in zip(names, parts, strict=True)]
     c = spark.createDataFrame(rows, "archive_id string, path string, nth int, start_mip int, end_mip int, payload binary, width int, height int, mip_count int, dxgi_format int, is_cubemap boolean")
-    for target in ("fo4dds", "sf3dds"):
+    for target in ("ba2-dx10-fo4", "ba2-dx10-sf-v3"):
         writers.write(writers.segments(c, target), str(tmp_path), f"-{target}.ba2").collect()
     read = archives.read_archives(spark, archives.archive_files(str(tmp_path)))
     assert archives.checked(read).count() == 0
@@ -72,9 +72,9 @@ def errors(spark, path):
     return (found[0].code, found[0].rule) if found else None
 
 
-@pytest.mark.parametrize("target", ["tes3", "sse", "fo4"])
+@pytest.mark.parametrize("target", ["bsa-tes3", "bsa-sse", "ba2-gnrl-fo4"])
 def test_damaged(spark, tmp_path, target):
-    suffix = ".ba2" if target == "fo4" else ".bsa"
+    suffix = ".ba2" if target == "ba2-gnrl-fo4" else ".bsa"
     writers.write(writers.segments(frame(spark, {"a/b.txt": b"0123456789" * 9, "c/d.txt": b"x" * 50}), target), str(tmp_path), suffix).collect()
     good = (tmp_path / f"one{suffix}").read_bytes()
 
@@ -88,12 +88,12 @@ def test_damaged(spark, tmp_path, target):
     assert case(b"none of it") == ("unsupported", "magic")
     assert case(good[:20])[0] == "format_error"
     assert case(good[:-20])[0] == "format_error"
-    if target == "tes3":
+    if target == "bsa-tes3":
         swapped = bytearray(good)
         at = 12 + 12 * 2 + 16
         swapped[at : at + 8], swapped[at + 8 : at + 16] = good[at + 8 : at + 16], good[at : at + 8]
         assert case(bytes(swapped))[0] == "format_error"
-    if target == "fo4":
+    if target == "ba2-gnrl-fo4":
         assert case(good[:4] + struct.pack("<I", 9) + good[8:]) == ("unsupported", "version")
         assert case(good[:8] + b"XXXX" + good[12:]) == ("unsupported", "subtype")
         twice = bytearray(good)

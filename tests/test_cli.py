@@ -15,8 +15,8 @@ def test_pack_list_validate_unpack(spark, tmp_path, capsys):
     (src / "a b.txt").write_bytes(b"hello" * 20)
     (src / "Sound/x.wav").write_bytes(b"wave" * 300)
     out = tmp_path / "made.ba2"
-    assert run(capsys, "pack", src, out, "--format", "fo4", "--compress")[0] == 0
-    assert run(capsys, "pack", src, out, "--format", "fo4")[0] == 1  # exists
+    assert run(capsys, "pack", src, out, "--format", "ba2-gnrl-fo4", "--compress")[0] == 0
+    assert run(capsys, "pack", src, out, "--format", "ba2-gnrl-fo4")[0] == 1  # exists
     code, text = run(capsys, "list", out, "--details")
     assert code == 0 and [x.split("\t")[0] for x in text.splitlines()] == ["a b.txt", "sound/x.wav"]
     code, text = run(capsys, "validate", out)
