@@ -25,7 +25,27 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and class words of what is never article text.
 OUTSIDE = frozenset("nav header footer aside form head title button menu dialog".split())
-OUTSIDE_CLASS = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:ad|ads|advert\w*|promo\w*|sponsor\w*|banner|cookie\w*|notice|consent|popup|modal|sidebar|side|menu|nav\w*|breadcrumb\w*|footer|header|comments?|reply|replies|respond|share|social|related|newsletter|subscribe|widget|complementary|navigation|banner|contentinfo|search)\b", re.I)
+ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Whole words of class, id and role values, and beginnings of such words, that mark boilerplate.
+OUTSIDE_WORDS = frozenset("ad ads banner popup modal overlay sidebar side menu nav footer reply replies respond share sharing social related recommended newsletter subscribe signup widget notice consent gdpr complementary navigation contentinfo search login alert pagination pager masthead disqus".split())
+OUTSIDE_STARTS = ("advert", "promo", "sponsor", "cookie", "breadcrumb", "comment", "navbar", "topbar")
+#: Elements that hold the content; their classes say what the page has, not what they are.
+HOLDERS = frozenset("html body main article".split())
+
+
+def _outside(name: str, attributes: str, in_article: bool) -> bool:
+    if name in OUTSIDE:
+        return not (name == "header" and in_article)  # an article's own heading block
+    for m in ATTRIBUTE.finditer(attributes):
+        for value in (m[1] or m[2] or m[3] or "").lower().split():
+            if value.startswith(("has-", "with-", "no-")):
+                continue
+            for word in re.split(r"[-_:]+", value):
+                if word in OUTSIDE_WORDS and (name not in HOLDERS or name == "article") or word.startswith(OUTSIDE_STARTS) and name not in ("html", "body", "main"):
+                    return True
+    return False
+
+
 CLOSES = frozenset("p li dd dt td th tr option".split())
 SPACE = re.compile(r"\s+")
 
@@ -33,7 +53,6 @@ SPACE = re.compile(r"\s+")
 def tokens(page: str):
     """(kind, name or text, inside boilerplate) with kind ``open``, ``close`` or ``text``."""
     stack: list[tuple[str, bool]] = []
-    header_in_article = 0
     for m in TOKEN.finditer(page):
         whole = m[0]
         if m[3] is None:
@@ -51,9 +70,7 @@ def tokens(page: str):
             yield "close", name, bool(stack) and stack[-1][1]
             continue
         outer = bool(stack) and stack[-1][1]
-        own = name in OUTSIDE or OUTSIDE_CLASS.search(m[4] or "") is not None
-        if name == "header" and any(x[0] == "article" for x in stack) and not outer and not OUTSIDE_CLASS.search(m[4] or ""):
-            own = False  # an article's own heading block
+        own = _outside(name, m[4] or "", any(x[0] == "article" for x in stack))
         if name in CLOSES and stack and stack[-1][0] == name:
             stack.pop()  # <p> ends an open <p>
         if name not in VOID and not (m[4] or "").endswith("/"):
@@ -113,11 +130,15 @@ def learn(pages: DataFrame, rows: int = 500) -> dict:
 def extract(page: str, weights: dict) -> str:
     """Text of the best region; blocks inside boilerplate elements are left out of it."""
     found, _ = blocks(page)
+    # where a page marks its article, what stands outside is none of it; what an article holds of notices or adverts
+    # is left out of the text but doesn't end the region
+    marked = any(article and not boiler for _, _, _, boiler, article in found)
+    out = [boiler or marked and not article for _, _, _, boiler, article in found]
     best, low, high, total, start = 0.0, 0, 0, 0.0, 0
     known, other = weights["tags"], weights["tag"]
-    for k, (_, n, tags, boiler, _) in enumerate(found):
+    for k, (_, n, tags, _, article) in enumerate(found):
         gap = sum(max(known.get(t, other), -3.0) for t in tags)
-        value = n * (weights["boiler"] if boiler else weights["word"])
+        value = n * weights["word"] if not out[k] else 0.0 if article else n * weights["boiler"]
         if total + gap <= 0:
             total, start = 0.0, k
             gap = 0.0
@@ -126,7 +147,7 @@ def extract(page: str, weights: dict) -> str:
             best, low, high = total, start, k + 1
         if total <= 0:
             total, start = 0.0, k + 1
-    return "\n".join(b[0] for b in found[low:high] if not b[3])
+    return "\n".join(b[0] for b, skip in zip(found[low:high], out[low:high], strict=True) if not skip)
 
 
 def main_text(pages: DataFrame, weights: dict | None = None) -> DataFrame:

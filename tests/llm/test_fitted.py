@@ -70,6 +70,8 @@ WEIGHTS = {"word": 1.5, "boiler": -4.0, "tags": {}, "tag": -0.1}
         ("<p>a<script>var x='<p>no</p>';</script>b</p><!-- <p>no</p> --><form><p>Send</p></form>", "ab"),
         ("<div class=\"ad\">Buy now</div><p>Unclosed text &lt;tag&gt; <i>here", "Unclosed text <tag> here"),
         ("<ul><li>first<li>second</ul><p>x < y</p>", "first\nsecond\nx < y"),
+        ("<body class='has-sidebar nav-open'><div class='page with-sidebar'><article><p>Start here</p><div class='ad-slot'>" + "buy this now " * 40 + "</div><p>End</p></article><p>Outside</p></div><section id=user_comments><article class=comment><p>First!</p></article></section></body>", "Start here\nEnd"),
+        ("<main class='content'><h2>Head</h2><p>Text of it</p></main><div id='cookie-notice'>We use cookies here</div>", "Head\nText of it"),
         ("<nav>only <a href=/x>menu</a></nav>", ""),
     ],
 )
