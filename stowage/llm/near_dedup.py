@@ -323,7 +323,7 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each near-duplicate group, that of the least doc_id; columns unchanged.
 
-    Of rows that share a doc_id and are kept, the one of the least text stays; rows without a doc_id stay."""
+    Of rows that share a doc_id and are kept, one of the least text stays; rows without a doc_id stay."""
     kept = groups(docs, k, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    left = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r"))
+    return left.select("r.*").unionByName(docs.where("doc_id is null"))
