@@ -21,6 +21,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,10 +145,11 @@ def repeated_places(docs: DataFrame, buckets: int, window: int = WINDOW, seed: i
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _strip(ids, rows, texts: pa.Array, marks: dict, window: int, full: bool):
+def _strip(ids, rows, packed: list[bytes], marks: dict, window: int, full: bool):
+    unpack = zstandard.ZstdDecompressor().decompress
     out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
     for i, (doc, row) in enumerate(zip(ids, rows, strict=True)):
-        words = texts[i].as_py().encode().split()  # white space of bytes: 0x20, 0x09-0x0D
+        words = unpack(packed[i]).split()  # white space of bytes: 0x20, 0x09-0x0D
         places = marks.get((doc, row))
         kept = words
         if places is not None:  # paths: runs of marked edges, merged where they overlap
@@ -181,9 +183,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, full: bool =
     marks = repeated_places(known, buckets, window, seed)
 
     def number(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress  # texts travel packed: half of what the shuffle would make of them
         for batch in batches:
             ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), buckets), pa.int32())], ["doc_id", "text", "row", "bucket"])
+            packed = pa.array([pack(t) for t in text_column(batch).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, packed, batch.column(2), pa.array(_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), buckets), pa.int32())], ["doc_id", "packed", "row", "bucket"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         by: dict = {}
@@ -196,7 +200,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, full: bool =
             new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
             first = np.flatnonzero(new)
             by = {(d, r): p for d, r, p in zip(doc[first].tolist(), row[first].tolist(), np.split(place, first[1:]), strict=True)}
-        return _strip(left.column("doc_id").to_pylist(), left.column("row").to_pylist(), left.column("text").combine_chunks() if len(left) else pa.array([], pa.string()), by, window, full)
+        return _strip(left.column("doc_id").to_pylist(), left.column("row").to_pylist(), left.column("packed").to_pylist(), by, window, full)
 
-    numbered = docs.mapInArrow(number, "doc_id long, text string, row long, bucket int")
+    numbered = docs.mapInArrow(number, "doc_id long, packed binary, row long, bucket int")
     return numbered.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(finish, RESULT + (", kept string" if full else ""))
