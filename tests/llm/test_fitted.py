@@ -136,6 +136,31 @@ def test_decontamination_edits(spark):
     assert decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
 
 
+def test_decontamination_finds_parts_at_every_offset(spark):
+    rng = random.Random(5)
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n)).replace("  ", " x")
+    items = [(n, fresh(n - 2) + "zz") for n in (80, 96, 150, 301)]
+    head, tail = fresh(200) + " ", " " + fresh(200)
+    docs = {}
+    for n, x in items:
+        for size in (decontaminate.QUOTE, 90, 126):
+            docs.update({n * 10**6 + size * 10**3 + at: head + x[at : at + size].upper() + tail for at in range(n - size + 1)})
+    rows = spark.createDataFrame([(0, head + tail), *docs.items()], "doc_id long, text string")
+    held = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(rows, held).collect()}
+    assert got == {(d, d // 10**6) for d in docs}
+    assert [r.doc_id for r in decontaminate.drop_leaks(rows, held).collect()] == [0]
+
+
+def test_decontamination_matches_short_items_as_whole_words(spark):
+    items = [(1, "What is 2+2?"), (2, "oak tree"), (3, "Été"), (4, "  "), (5, "東京"), (6, "oak tree")]
+    docs = [(10, "what  IS\n2+2?"), (11, "an Oak\ttree, tall"), (12, "soak trees and oak treehouse"), (13, "l’Été “oak tree”"), (14, "Étés"), (15, "私は東京にいる"), (16, "cloak tree é"), (17, "")]
+    rows, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): dict(docs)[r.doc_id][r.start : r.stop] for r in decontaminate.find(rows, held).collect()}
+    assert got == {(10, 1): "what  IS\n2+2?", (11, 2): "Oak\ttree", (11, 6): "Oak\ttree", (13, 2): "oak tree", (13, 6): "oak tree", (13, 3): "Été", (15, 5): "東京"}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(rows, held).collect()) == [12, 14, 16, 17]
+
+
 @needs_tables
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
