@@ -137,7 +137,8 @@ def extract(page: str, weights: dict) -> str:
     best, low, high, total, start = 0.0, 0, 0, 0.0, 0
     known, other = weights["tags"], weights["tag"]
     for k, (_, n, tags, _, article) in enumerate(found):
-        gap = sum(max(known.get(t, other), -3.0) for t in tags)
+        # tags between blocks of a marked article don't part them, however many there are for each word
+        gap = 0.0 if marked and article else sum(max(known.get(t, other), -3.0) for t in tags)
         value = n * weights["word"] if not out[k] else 0.0 if article else n * weights["boiler"]
         if total + gap <= 0:
             total, start = 0.0, k

@@ -79,6 +79,19 @@ def test_html_cases(page, want):
     assert html_text.extract(page, WEIGHTS) == want
 
 
+LINKS = "<ul>" + "<li><a href=/x>word</a></li>" * 60 + "</ul>"
+PLAIN = "<ol><li>one</li><li>two</li></ol>"
+NOTICE = "<div class='ad-slot'>" + "<ul><li><a href=/x>buy</a></li></ul>" * 60 + "</div>"
+
+
+@pytest.mark.parametrize("parts", [p for odd in (LINKS, PLAIN, NOTICE) for p in ([odd, "a", "b"], ["a", odd, "b"], ["a", "b", odd], [odd, odd, "a", odd])])
+def test_html_keeps_the_whole_article(parts):
+    weights = {"word": 4.0, "boiler": -4.0, "tags": dict.fromkeys("li /li ul /ul ol /ol a /a".split(), -7.0), "tag": -0.1}
+    shown = {LINKS: ["word"] * 60, PLAIN: ["one", "two"], NOTICE: []}
+    page = "<nav><ul><li><a href=/>Home</a></li></ul></nav><p>Before</p><article>" + "".join(p if p in shown else f"<p>Text {p} of it</p>" for p in parts) + "</article><p>After it</p><footer>Foot</footer>"
+    assert html_text.extract(page, weights) == "\n".join(x for p in parts for x in shown.get(p, [f"Text {p} of it"]))
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a b</p>", "y"), (None, None, "", "z")], "page_id long, url string, html string, n_chars string")
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.main_text(pages, WEIGHTS).collect()), key=repr)
