@@ -69,7 +69,7 @@ def listing(spark, a) -> int:
 
 def validate(spark, a) -> int:
     rows = archives.read_archives(spark, [a.archive])
-    first = validation.first_error(archives.checked(rows), ["archive_id"]).first()
+    first = validation.first_error(archives.checked(rows).unionByName(archives.checked_sizes(rows)), ["archive_id"]).first()
     facts = archives.archives(rows).withColumnRenamed("trailing_names", "file_name_table_has_trailing_bytes").withColumnRenamed("folder_names_mismatch", "folder_name_table_length_mismatch")
     facts = facts.withColumn("has_embedded_names", (F.col("variant") == "tes4") & (F.col("version") > 103) & (F.col("archive_flags").bitwiseAND(0x100) != 0))
     warned = validation.warnings(facts, archives.identity_mismatch(archives.entries(rows)), a.family)

@@ -20,7 +20,7 @@ def formats(spark: SparkSession) -> DataFrame:
 
 
 def mip_dimension(size: Column, mip: Column) -> Column:
-    return F.greatest(F.call_function("shiftright", size.cast("long"), mip.cast("int")), F.lit(1))
+    return F.greatest(F.call_function("shiftright", size.cast("long"), F.least(mip.cast("int"), F.lit(31))), F.lit(1))
 
 
 def mip_bytes(width: Column, height: Column, mip: Column, block_bytes: Column, block_side: Column) -> Column:
@@ -86,6 +86,40 @@ def sequence_error(chunks: Column, mips: Column) -> Column:
     return F.aggregate(chunks, start, step, lambda a: F.coalesce(a["error"], F.when(a["next"] != mips, "incomplete")))
 
 
+def layout_error(chunks: Column, width: Column, height: Column, mips: Column, cube: Column, block_bytes: Column, block_side: Column, sizes: bool = True) -> Column:
+    """First fault in the chunks (start_mip, end_mip, raw_size) of a whole texture: null, ``shape``, ``surplus``,
+    ``range``, ``gap``, ``overlap``, ``size`` or ``incomplete``.
+
+    Slices ascend, within them the six faces of a cube map, within those the mips, and a chunk has just the bytes of its
+    mips. Only a single cube map may keep the rest of its first face and all others in its last chunk, after chunks of
+    one mip each. Without ``sizes``, or for a format that isn't known, sizes are not compared but for that."""
+    tops = F.size(F.filter(chunks, lambda c: c["start_mip"] == 0))
+    arrays = F.greatest(F.when(cube, F.floor(tops / 6)).otherwise(tops), F.lit(1)).cast("int")
+    faces = F.when(cube, 6).otherwise(1)
+    bytes_of = lambda first, last: mip_range_bytes(width, height, first, last, block_bytes, block_side)
+    start = F.struct(F.lit(0).alias("array"), F.lit(0).alias("face"), F.lit(0).alias("next"), F.lit(None).cast("string").alias("error"))
+
+    def step(acc: Column, x: Column) -> Column:
+        c, i = x["c"], x["i"]
+        first, last = c["start_mip"], c["end_mip"]
+        tail = cube & (arrays == 1) & (i == F.size(chunks) - 1) & (acc["array"] == 0) & (acc["face"] == 0) & (first == i) & (last == mips - 1)
+        whole = tail & (c["raw_size"] == bytes_of(first, last) + 5 * bytes_of(F.lit(0), mips - 1))
+        odd = (c["raw_size"] != bytes_of(first, last)) & ~whole if sizes else F.lit(False)
+        fault = F.when(acc["array"] >= arrays, "surplus").when((first > last) | (last >= mips), "range").when(first > acc["next"], "gap").when(first < acc["next"], "overlap").when(odd, "size")
+        face_ends = last + 1 == mips
+        slice_ends = face_ends & ((acc["face"] + 1 == faces) | F.coalesce(whole, F.lit(False)))
+        return F.struct(
+            F.when(slice_ends, acc["array"] + 1).otherwise(acc["array"]).alias("array"),
+            F.when(slice_ends, 0).when(face_ends, acc["face"] + 1).otherwise(acc["face"]).alias("face"),
+            F.when(face_ends, 0).otherwise(last + 1).cast("int").alias("next"),
+            F.coalesce(acc["error"], fault).alias("error"),
+        )
+
+    numbered = F.transform(chunks, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    ends = lambda a: F.coalesce(a["error"], F.when((a["array"] != arrays) | (a["face"] != 0) | (a["next"] != 0), "incomplete"))
+    return F.when((width == 0) | (height == 0) | (mips == 0), "shape").otherwise(F.aggregate(numbered, start, step, ends))
+
+
 def place_subresources(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     """Each chunk (texture, array_index, face, start_mip, end_mip) with its subresources (…, mip, size).
 

@@ -12,7 +12,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashes, paths
@@ -297,8 +297,25 @@ def entries(rows: DataFrame) -> DataFrame:
     return e.withColumn("is_cubemap", cube).withColumn("array_size", F.when(F.col("chunks").isNotNull(), size)).drop("kind")
 
 
+def _with_formats(e: DataFrame) -> DataFrame:
+    return e.join(F.broadcast(textures.formats(e.sparkSession)), "dxgi_format", "left")
+
+
+def _layout_error(sizes: bool) -> Column:
+    return textures.layout_error(F.col("chunks"), F.col("width"), F.col("height"), F.col("mip_count"), F.col("is_cubemap"), F.col("block_bytes"), F.col("block_side"), sizes)
+
+
+def checked_sizes(rows: DataFrame) -> DataFrame:
+    """Violations, as in ``checked``, of textures whose chunks stand in order but don't have the bytes of their mips."""
+    rules = [("chunk_size", "format_error", _layout_error(sizes=False).isNull() & (_layout_error(sizes=True) == "size"))]
+    found = validation.violations(_with_formats(entries(rows).where("chunks is not null")), ["archive_id"], "record_index", rules, phase=1)
+    return found.withColumn("rule_rank", F.lit(8))
+
+
 def checked(rows: DataFrame) -> DataFrame:
-    """Violations of all archives: (archive_id, phase, record_index, rule_rank, code, rule). Valid archives have none."""
+    """Violations of all archives: (archive_id, phase, record_index, rule_rank, code, rule). Valid archives have none.
+
+    ``checked_sizes`` gives those of texture chunks of wrong sizes."""
     a, e = archives(rows), entries(rows)
     found = a.where("error is not null").select("archive_id", F.lit(0).alias("phase"), F.lit(-1).cast("long").alias("record_index"), F.lit(0).alias("rule_rank"), F.col("error").alias("code"), F.col("error_rule").alias("rule"))
     low_stem, low_ext = paths.stem(F.col("file")), paths.extension(F.col("file"))
@@ -307,6 +324,8 @@ def checked(rows: DataFrame) -> DataFrame:
     outside = plain & ~span_fits(F.col("payload_offset"), F.col("stored_size"), F.col("size_bytes"))
     in_tables = plain & (F.col("stored_size") > 0) & ((F.col("payload_offset") < F.col("metadata_end")) | F.coalesce((F.col("payload_offset") + F.col("stored_size") > F.col("name_table_start")) & (F.col("payload_offset") < F.col("size_bytes")) & (F.col("name_table_start") > F.col("payload_offset")), F.lit(False)))
     bad_chunk = F.exists("chunks", lambda c: ~span_fits(c["payload_offset"], c["stored_size"], F.col("size_bytes")) | (c["payload_offset"] < F.col("metadata_end")))
+    e = _with_formats(e)
+    fault = _layout_error(sizes=False)
     rules = [
         ("invalid_path", "format_error", F.col("path").isNull()),
         ("hash_mismatch", "format_error", mismatch),
@@ -314,7 +333,8 @@ def checked(rows: DataFrame) -> DataFrame:
         ("span_in_tables", "format_error", in_tables),
         ("payload_prefix", "format_error", F.col("error").isNotNull()),
         ("chunk_span", "format_error", bad_chunk),
-        ("chunk_sequence", "format_error", F.coalesce(textures.sequence_error(F.col("chunks"), F.col("mip_count")), F.lit("")) != ""),
+        ("texture_format", "format_error", ~plain & F.col("block_bytes").isNull()),
+        ("chunk_sequence", "format_error", fault.isNotNull()),
     ]
     found = found.unionByName(validation.violations(e, ["archive_id"], "record_index", rules, phase=1))
     twice = spans.duplicates(e.where("path is not null"), "archive_id", "path").select("archive_id", F.lit(1).alias("phase"), F.lit(1 << 40).alias("record_index"), F.lit(10).alias("rule_rank"), F.lit("format_error").alias("code"), F.lit("duplicate_path").alias("rule"))

@@ -35,3 +35,14 @@ def test_round_trip_and_parts(spark, tmp_path):
     assert {r.path: (r.array_size, r.is_cubemap) for r in e.collect()} == {"t/plain.dds": (1, False), "t/cube.dds": (1, True), "t/array.dds": (2, False)}
     got = {r.path: bytes(r.content) for r in extract.payloads(e).collect()}
     assert got == {p: b for p, (b, _) in made.items()}
+
+
+def test_layout_violations(spark, tmp_path):
+    made = {"five": (5, 336), "six": (6, 336), "seven": (7, 336), "long": (6, 340)}
+    rows = [("tex", f"t/{n}.dds", i, 0, 2, bytearray(random.Random(i).randbytes(size)), 8, 8, 3, 28, True) for n, (faces, size) in made.items() for i in range(faces)]
+    c = spark.createDataFrame(rows, "archive_id string, path string, nth int, start_mip int, end_mip int, payload binary, width int, height int, mip_count int, dxgi_format int, is_cubemap boolean")
+    writers.write(writers.segments(c, "ba2-dx10-fo4"), str(tmp_path), ".ba2").collect()
+    read = archives.read_archives(spark, archives.archive_files(str(tmp_path)))
+    path = {r.record_index: r.path for r in archives.entries(read).collect()}
+    assert {(path[r.record_index], r.rule) for r in archives.checked(read).collect()} == {("t/five.dds", "chunk_sequence"), ("t/seven.dds", "chunk_sequence")}
+    assert {(path[r.record_index], r.rule) for r in archives.checked_sizes(read).collect()} == {("t/long.dds", "chunk_size")}

@@ -54,6 +54,24 @@ def test_sequences(spark):
     assert err([(1, 0)], 4) == "backwards"
 
 
+def test_layouts(spark):
+    bc1 = lambda first, last: sum(max((16 >> m) // 4, 1) ** 2 * 8 for m in range(first, last + 1))
+    face = [(0, 0, bc1(0, 0)), (1, 4, bc1(1, 4))]
+    tail = bc1(1, 4) + 5 * bc1(0, 4)
+    cases = [
+        (face, False, None), (face * 3, False, None), (face * 6, True, None), (face * 12, True, None),
+        (face * 5, True, "incomplete"), (face * 7, True, "surplus"), (face[:1], False, "incomplete"), (face * 6 + face[:1], True, "surplus"),
+        ([(0, 0, bc1(0, 0) - 1), face[1]], False, "size"), ([face[0], (1, 4, bc1(1, 4) + 8)], False, "size"),
+        ([(0, 9, bc1(0, 4)), (0, 4, bc1(0, 4))], False, "range"), ([(1, 0, 8)], False, "range"),
+        ([face[0], (2, 4, bc1(2, 4))], False, "gap"), ([face[0], (0, 4, bc1(0, 4))], False, "overlap"),
+        ([face[0], (1, 4, tail)], True, None), ([(0, 4, 6 * bc1(0, 4))], True, None), ([face[0], (1, 4, tail)], False, "size"), ([face[0], (1, 4, tail - 8)], True, "size"),
+        ([(0, 1, bc1(0, 1)), (2, 4, bc1(2, 4) + 5 * bc1(0, 4))], True, "size"), ([*face, face[0], (1, 4, tail)], True, "size"), ([face[0], (1, 4, tail), face[0]], True, "size"),
+    ]
+    rows = spark.createDataFrame([(i, c, cube) for i, (c, cube, _) in enumerate(cases)], "i int, chunks array<struct<start_mip:int,end_mip:int,raw_size:long>>, cube boolean")
+    error = textures.layout_error(F.col("chunks"), F.lit(16), F.lit(16), F.lit(5), F.col("cube"), F.lit(8), F.lit(4))
+    assert dict(rows.select("i", error).collect()) == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
 def test_capped_ranges(spark):
     got = spark.range(1).select(textures.capped_ranges(F.array(*map(F.lit, (50, 30, 20, 10, 5))), 60).alias("r")).first().r
     assert [tuple(x) for x in got.ranges] == [(0, 0), (1, 3), (4, 4)] and not got.error
