@@ -4,6 +4,7 @@ A few fast Hadamard transforms with random signs rotate a unit vector; its hash
 Every table has its own rotations. Candidates lie in one bucket of each table, queries probe the buckets of their
 best axes; candidates of a bucket are split into blocks of bounded size, and each block reranks exactly and keeps the
 best. Equal vectors are one candidate that carries its smallest ids. Queries that found too few get an exact pass.
+Vectors of different lengths have no cosine; each length is searched among its own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK = 4096
+#: Vectors that a bucket should hold at most on average; from there on a table's hash takes one more rotation.
+BUCKET = 2048
 
 
 def hadamard(a: np.ndarray) -> np.ndarray:
@@ -67,83 +70,97 @@ def _matrix(column) -> np.ndarray:
 def _best(queries, vectors, k: int):
     """Top ``k`` candidates of each query by cosine in double precision, ties to the smaller id."""
     q, c = _matrix(queries.column("embedding")), _matrix(vectors.column("embedding"))
-    ids = vectors.column("class_id").to_numpy()
-    order = np.argsort(ids)
-    c, ids = c[order], ids[order]
+    ids, low = vectors.column("class_id").to_numpy(), vectors.column("low").to_numpy()
+    order = np.lexsort((ids, low))
+    c, ids, low = c[order], ids[order], low[order]
     score = (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :])
     top = np.argsort(-score, axis=1, kind="stable")[:, :k]
     width = top.shape[1]
-    return pa.table({"query_class": np.repeat(queries.column("class_id").to_numpy(), width), "class_id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
+    return pa.table({"query_class": np.repeat(queries.column("class_id").to_numpy(), width), "class_id": ids[top].ravel(), "low": low[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
 
 
-_FOUND = "query_class long, class_id long, score double"
+_FOUND = "query_class long, class_id long, low long, score double"
 
 
-def search(vectors: DataFrame, queries, k: int = 5, tables: int = 16, probes: int = 8, hashes: int = 1, seed: int = 7) -> DataFrame:
+def parts_for(vectors: int, axes: int) -> int:
+    """Rotations whose axes make up one hash, so that a bucket holds about ``BUCKET`` vectors however many there are."""
+    parts = 1
+    while vectors > BUCKET * axes**parts:
+        parts += 1
+    return parts
+
+
+def search(vectors: DataFrame, queries, k: int = 5, tables: int = 16, probes: int = 8, hashes: int | None = None, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row of ``vectors(vec_id, embedding)`` that the
-    condition ``queries`` picks, among all other rows, nearest first, ties to the smaller vec_id.
+    condition ``queries`` picks, among all other rows of the same length, nearest first, ties to the smaller vec_id.
 
-    Rows whose vector is null, of another length than the longest, zero, or holds null or non-finite components take
-    no part, nor do null ids. A repeated vec_id counts once for each distinct vector. Other columns are not read."""
+    Rows whose vector is null, empty, zero, or holds null or non-finite components take no part, nor do null ids. A
+    repeated vec_id counts once for each distinct vector. Other columns are not read. ``hashes`` rotations make a hash
+    (by default as many as the number of vectors asks for); each beyond the first multiplies the probes by 8."""
     valid = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(valid).where(F.size("embedding") > 0)
-    size = rows.agg(F.max(F.size("embedding")).alias("d")).first().d or 1
-    rows = rows.where(F.size("embedding") == size)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(valid)
     # equal vectors become one class with its k + 1 smallest ids; more can't be among anyone's k nearest
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    classes = rows.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("class_id", F.col("ids")[0])
-    classes = written(classes.select("class_id", "ids", "embedding"), "vectors")
-    asked = rows.where(queries).groupBy("embedding").agg(F.min("vec_id").alias("any_id"))
-    asked_class = written(asked.select(F.col("any_id").alias("class_id"), "embedding"), "asked")  # one row a distinct query vector
+    classes = rows.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    # a vec_id may stand for several vectors, so a class is named by a number of its own
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class_id"), F.col("ids")[0].alias("low"), "ids", F.size("embedding").alias("dim"), "embedding"), "vectors")
+    lengths = classes.groupBy("dim").agg(F.count("*").alias("total"))
+    asked = rows.where(queries).select("embedding").distinct()
+    asked_class = written(asked.join(classes, "embedding").select("class_id", "low", "dim", "embedding"), "asked")  # one row a distinct query vector
+    if hashes is None:
+        most = lengths.agg(F.max(F.struct("total", "dim")).alias("m")).first().m
+        hashes = parts_for(most.total, 2 << max(1, (most.dim - 1).bit_length())) if most else 1
 
     def hashed(number):
         def run(batches):
             for batch in batches:
-                unit = _matrix(batch.column(1))
-                if not len(unit):
-                    continue
-                unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-                for t in range(tables):
-                    b = buckets(unit, t, hashes, number, seed)
-                    for j in range(b.shape[1]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t), pa.int32()), pa.array(b[:, j], pa.int64()), batch.column(0), batch.column(1)], ["tab", "bucket", "class_id", "embedding"])
+                dims = batch.column(1).to_numpy()
+                for d in np.unique(dims):
+                    part = batch.filter(pa.array(dims == d))
+                    unit = _matrix(part.column(2))
+                    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+                    for t in range(tables):
+                        b = buckets(unit, t, hashes, number, seed)
+                        for j in range(b.shape[1]):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t), pa.int32()), pa.array(b[:, j], pa.int64()), part.column(1), part.column(0), part.column(3), part.column(2)], ["tab", "bucket", "dim", "class_id", "low", "embedding"])
 
         return run
 
     kind = dict(classes.dtypes)["embedding"]
-    schema = f"tab int, bucket long, class_id long, embedding {kind}"
-    stored = classes.select("class_id", "embedding").mapInArrow(hashed(1), schema)
-    probed = asked_class.mapInArrow(hashed(probes), schema)
+    schema = f"tab int, bucket long, dim int, class_id long, low long, embedding {kind}"
+    stored = classes.select("class_id", "dim", "embedding", "low").mapInArrow(hashed(1), schema)
+    probed = asked_class.select("class_id", "dim", "embedding", "low").mapInArrow(hashed(probes * 8 ** (hashes - 1)), schema)
     # a large bucket is split into blocks: its candidates are dealt to them, its queries visit each
-    fill = stored.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    stored = stored.join(fill, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    probed = probed.join(fill, ["tab", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["tab", "bucket", "block"]
-    empty = pa.table({"query_class": pa.array([], pa.int64()), "class_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    place = ["tab", "bucket", "dim"]
+    fill = stored.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    stored = stored.join(fill, place).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    probed = probed.join(fill, place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = [*place, "block"]
+    empty = pa.table({"query_class": pa.array([], pa.int64()), "class_id": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     def rerank(asking: pa.Table, there: pa.Table) -> pa.Table:
         return _best(asking, there, k + 1) if len(asking) and len(there) else empty
 
-    found = probed.select(*key, "class_id", "embedding").groupBy(*key).cogroup(stored.select(*key, "class_id", "embedding").groupBy(*key)).applyInArrow(rerank, _FOUND)
+    found = probed.select(*key, "class_id", "embedding").groupBy(*key).cogroup(stored.select(*key, "class_id", "low", "embedding").groupBy(*key)).applyInArrow(rerank, _FOUND)
     found = _top(found, k + 1)
     found = written(found, "found")
     # an exact pass over all blocks for queries that collected fewer than there are
-    total = classes.count()
-    short = asked_class.join(found.groupBy("query_class").count().where(F.col("count") >= min(k + 1, total)).select(F.col("query_class").alias("class_id")), "class_id", "left_anti")
+    counts = found.groupBy("query_class").count().withColumnRenamed("query_class", "class_id")
+    short = asked_class.join(lengths, "dim").join(counts, "class_id", "left").where(F.coalesce("count", F.lit(0)) < F.least(F.lit(k + 1), "total"))
     if short.take(1):
-        n = -(-total // BLOCK)
-        everywhere = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        dealt = classes.select("class_id", "embedding", F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int").alias("block"))
-        exact = everywhere.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(rerank, _FOUND)
+        n = F.ceil(F.col("total") / BLOCK).cast("int")
+        everywhere = short.withColumn("block", F.explode(F.sequence(F.lit(0), n - 1))).select("class_id", "embedding", "dim", "block")
+        dealt = classes.join(lengths, "dim").select("class_id", "low", "embedding", "dim", F.pmod(F.xxhash64("class_id"), n).cast("int").alias("block"))
+        exact = everywhere.groupBy("dim", "block").cogroup(dealt.groupBy("dim", "block")).applyInArrow(rerank, _FOUND)
         found = _top(found.union(exact), k + 1)
     listed = found.join(classes.select("class_id", "ids"), "class_id").select("query_class", "score", F.explode("ids").alias("vec_id"))
-    every = rows.where(queries).select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(asked_class.withColumnRenamed("class_id", "query_class"), "embedding").select("query_id", "query_class")
+    every = rows.where(queries).select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(asked_class.select(F.col("class_id").alias("query_class"), "embedding"), "embedding").select("query_id", "query_class")
     pairs = every.join(listed, "query_class").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_class").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    best = found.groupBy("query_class", "class_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_class").orderBy(F.desc("score"), "class_id"))
+    best = found.groupBy("query_class", "class_id", "low").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_class").orderBy(F.desc("score"), "low", "class_id"))
     return best.withColumn("r", rank).where(F.col("r") <= k).drop("r")

@@ -1,6 +1,7 @@
 """Operators whose result is fully determined, against brute force or the library itself."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -14,6 +15,8 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from stowage.llm import near_dedup, nearest, secret_scan, substring_dedup, token_count, url_filter, word_bpe  # noqa: E402
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+needs_tables = pytest.mark.skipif(not os.path.exists(SF), reason="no tables here")
 SPLIT = re.compile(r"[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, n_chars int"
 
@@ -231,6 +234,49 @@ def test_nearest_few_and_none(spark):
     assert nearest.search(vectors(spark, []), F.col("vec_id") == 0).count() == 0
 
 
+def brute_nearest(rows, every, k=5):
+    """(query, rank) -> nearest of the same length, by plain numpy; ties to the smaller id."""
+    out = {}
+    for q, v in rows:
+        if q is None or q % every:
+            continue
+        v = np.array(v, float)
+        near = []
+        for i, w in rows:
+            if i != q and i is not None and len(w) == len(v):
+                w = np.array(w, float)
+                near.append((-round(float(v @ w / (np.linalg.norm(v) * np.linalg.norm(w))), 12), i))
+        out.update({(q, n + 1): i for n, (_, i) in enumerate(sorted(near)[:k])})
+    return out
+
+
+def test_nearest_keeps_every_length_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=(8, 8, 8, 5)[i % 4]).astype(np.float32).tolist()) for i in range(300)] + [(1000, [1.0] * 9), (1001, [2.0] * 40), (1002, [1.0] * 40)]
+    for hashes in (None, 2):
+        got = nearest.search(vectors(spark, [(i, v, "r") for i, v in rows]), F.col("vec_id") % 10 == 0, hashes=hashes).collect()
+        want = brute_nearest(rows, 10)
+        assert {(r.query_id, r["rank"]) for r in got} == set(want)
+        assert sum(want[r.query_id, r["rank"]] == r.vec_id for r in got) >= 0.9 * len(want)
+        # a vec_id that stands for two vectors is a candidate by either
+    twice = [(0, [1.0, 0.0]), (7, [1.0, 0.1]), (7, [-1.0, 0.0]), (8, [0.0, 1.0])]
+    got = nearest.search(vectors(spark, [(i, v, "r") for i, v in twice]), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [7, 8, 7]
+
+
+def test_parts_grow_with_the_vectors():
+    assert [nearest.parts_for(n, 128) for n in (0, 1, 200_000, 300_000, 10**9)] == [1, 1, 1, 2, 3]
+
+
+@needs_tables
+def test_nearest_recall_on_the_table(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    want = brute_nearest(rows, 50)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in nearest.search(table, F.col("vec_id") % 50 == 0).collect()}
+    assert got.keys() == want.keys() and sum(got[x] == want[x] for x in want) >= 0.9 * len(want)
+
+
 def test_url_rules(spark):
     urls = {1: "http://a.EXAMPLE.net/en/x?q#h", 2: "https://example.net", 3: "http://example.com/de/1", 4: "http://x.org/fr/", 5: "http://x.org/de", 6: None, 7: "nothing", 8: "http://b.net/", 9: "a://b://c/d", 10: "http://notexample.com/de/"}
     pages = spark.createDataFrame(list(urls.items()), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("good", F.lit(0))
