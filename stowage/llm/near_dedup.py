@@ -2,9 +2,10 @@
 
 Equal shingle sets form a class. Classes get a fast similarity sketch and one row for each band of it. Each class is
 first verified against the bucket's least class that it shares most bands with; most copies fall into components so.
-Buckets that still hold several components are compared by sketch, in blocks of bounded size that leave out pairs
-within the bucket's main component; what agrees enough hangs together in clusters, and full sets decide, again in
-blocks, which classes of different components in a cluster are linked. Only links are emitted, never all pairs.
+Classes of buckets that still hold several components are narrowed by their rarest shingles: two sets that overlap
+enough share one of the few shingles in which they may differ, so classes that hang together by none of those can't be
+linked. What still hangs together is decided on full sets, in blocks of bounded size that leave out pairs within a
+cluster's main component. Only links are emitted, never all pairs. Hot keys of every join are broadcast or salted.
 """
 
 from __future__ import annotations
@@ -75,12 +76,14 @@ def set_key(value: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
     return mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-#: Documents of one side of a block in which candidates are compared.
-BLOCK = 512
-#: Rows of small block pairs that share a call.
-PACK = 4096
-#: Sketch agreement under which a pair is no candidate: at similarity 0.8 and 150 coordinates over 5 deviations lower.
-LEAST_AGREEMENT = 0.62
+#: Classes of one side of a block in which full sets are compared.
+BLOCK = 256
+#: Rows from which a key is hot, unless a thousandth of all rows is more: at most 1000 keys are hot.
+HOT = 256
+#: Bits that name a slot in which shingles are counted to order them by rarity: one byte each, whatever the corpus.
+SLOT_BITS = 24
+#: Classes whose doc_id another class bears as well are numbered from here on; doc_ids lie below.
+SURROGATE = 1 << 62
 
 
 def profiles(docs: DataFrame, k: int, bands: int, per_band: int) -> DataFrame:
@@ -117,10 +120,10 @@ def band_keys(classes: DataFrame, bands: int, per_band: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, n, shingles of the classes in ``wanted(node, key1)``, from the documents that stand for them.
+    """node, n, shingles of the classes in ``wanted(node, doc_id, key1)``, from the documents that stand for them.
 
     A bit set of fixed size spares the other documents the shuffle."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitset(wanted, "node", bits=24))
+    bits = docs.sparkSession.sparkContext.broadcast(bitset(wanted, "doc_id", bits=24))
 
     def run(batches):
         have = np.frombuffer(bits.value, np.uint8)
@@ -131,10 +134,24 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for a, b in slices(texts):
                 value, offsets = shingles(texts[a:b], k)
                 key = set_key(value, offsets, SALTS[0])
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(key), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))], ["node", "key1", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(key), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))], ["doc_id", "key1", "shingles"])
 
-    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(run, "node long, key1 long, shingles array<long>")
-    return found.join(wanted, ["node", "key1"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles").dropDuplicates(["node"])
+    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key1 long, shingles array<long>")
+    return found.join(wanted, ["doc_id", "key1"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles").dropDuplicates(["node"])
+
+
+def _hot(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """Keys of ``counts(key, c)`` that bear at least ``HOT`` and a thousandth of ``total`` rows: at most 1000."""
+    return counts.where(F.col("c") >= max(HOT, total // 1000))
+
+
+def _met(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has a row for each key and in ``c`` how many of the ``total`` rows bear it.
+
+    Hot keys, at most 1000, meet their rows by broadcast, so that no task takes all rows of one key."""
+    hot = _hot(facts, key, total)
+    cold = facts.where(F.col("c") < max(HOT, total // 1000))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)).drop("c")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -142,18 +159,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Neighbourhoods are only ever reduced to their least node, never collected."""
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before, total = None, e.count()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        large = _met(both, low, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "stars")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = _met(large, low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, total = state, state[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -161,14 +179,13 @@ def _close(inter: Column, n1: Column, n2: Column, percent: int) -> Column:
     return 100 * inter >= percent * (n1 + n2 - inter)
 
 
-def _blocked(rows: DataFrame, group: str, main: Column, size: int) -> DataFrame:
-    """Rows of a group dealt to pairs of blocks (i, j) so that every two rows meet that aren't both on the main side.
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows of a cluster dealt to pairs of blocks (i, j) so that every two rows meet that aren't both on the main side.
 
-    Main rows number most in an easy group; with few others, each travels once for each block of those."""
-    sides = rows.withColumn("main", main)
-    count = sides.groupBy(group).agg(F.ceil(F.sum(F.when(F.col("main"), 1).otherwise(0)) / size).cast("int").alias("mains"), F.ceil(F.sum(F.when(F.col("main"), 0).otherwise(1)) / size).cast("int").alias("others"))
-    dealt = sides.join(count.where("others > 0"), group)
+    ``mains`` and ``others`` say how many blocks each side has. Main rows number most in an easy cluster; with few
+    others, each travels once for each block of those."""
     h = F.xxhash64("node", F.lit(11))
+    dealt = rows.withColumn("main", F.col("comp") == F.col("main_comp"))
     own = F.when(F.col("main"), F.col("others") + F.pmod(h, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(h, F.col("others"))).cast("int")
     dealt = dealt.withColumn("own", own)
     partner = F.when(F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
@@ -193,40 +210,6 @@ def _meeting(own: np.ndarray, i: int, j: int):
     return (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(own)), np.arange(len(own)))
 
 
-def _agreeing(percent: int, least: float):
-    def block(node, comp, n, s, own, i, j):
-        left, right = _meeting(own, i, j)
-        order = np.argsort(node)
-        rank = np.empty(len(node), np.int64)
-        rank[order] = np.arange(len(node))
-        a, b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            if len(y):
-                y = y[(s[y] == s[x]).mean(1) >= least]
-                a.append(np.full(len(y), rank[x]))
-                b.append(rank[y])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        root, some = _forest(len(node), a, b), np.unique(np.concatenate((a, b)))
-        return node[order][some], node[order][root[some]]
-
-    def run(table):
-        """Each row with a candidate of another component in its block pair, with the least row it hangs together with."""
-        cols = {c: table.column(c).to_numpy() for c in ("band", "i", "j", "own", "node", "comp", "n")}
-        s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(cols["node"]), -1)
-        order = np.lexsort((cols["j"], cols["i"], cols["band"]))
-        new = np.ones(len(order), bool)
-        new[1:] = sum(cols[c][order][1:] != cols[c][order][:-1] for c in ("band", "i", "j")) > 0
-        first = np.flatnonzero(new)
-        out = [([], [])]
-        for at in np.split(order, first[1:]):
-            out.append(block(*(cols[c][at] for c in ("node", "comp", "n")), s[at], cols["own"][at], cols["i"][at[0]], cols["j"][at[0]]))
-        node, hub = (np.concatenate([np.asarray(x[k], np.int64) for x in out]) for k in (0, 1))
-        return pa.table({"node": node, "hub": hub})
-
-    return run
-
-
 def _linking(percent: int):
     def run(key, table):
         """Links by full shingle sets between rows of different components; of those that hang together a spanning star."""
@@ -265,6 +248,58 @@ def _linking(percent: int):
     return run
 
 
+def slot_sizes(sets: DataFrame) -> np.ndarray:
+    """How often shingles of ``sets`` fall into each of ``2**SLOT_BITS`` slots, as a byte that grows with the logarithm.
+
+    Counts are summed in Spark; one byte a slot reaches the driver, whatever the number of shingles."""
+    sections, width = 64, 1 << SLOT_BITS - 6
+
+    def count(batches):
+        for batch in batches:
+            slot, times = np.unique(batch.column(0).flatten().to_numpy() & np.int64((1 << SLOT_BITS) - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(times, pa.int64())], ["slot", "c"])
+
+    def pack(key, table):
+        part = np.zeros(width, np.uint8)
+        c = table.column("c").to_numpy()
+        part[table.column("slot").to_numpy() - key[0].as_py() * width] = np.minimum(np.where(c < 16, c, 16 + 4 * np.log2(c / 16)), 255).astype(np.uint8)
+        return pa.table({"section": pa.array(key[:1], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
+
+    counts = sets.select("shingles").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c"))
+    parts = counts.withColumn("section", F.floor(F.col("slot") / width).cast("int")).groupBy("section").applyInArrow(pack, "section int, part binary").collect()
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    for p in parts:
+        out[p.section * width : (p.section + 1) * width] = np.frombuffer(p.part, np.uint8)
+    return out
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """node, shingle, small: the shingles of each set one of which two sets with enough in common share.
+
+    Shingles are put in one order for all sets, the rarest first. Of two linked sets the larger has a common shingle
+    among its first ``n - ceil(p n) + 1``, the smaller that same one among its first ``n - ceil(2 p n / (1 + p)) + 1``
+    (``small``), as what comes after would not be enough. The order decides only how few others share them."""
+    sizes = sets.sparkSession.sparkContext.broadcast(slot_sizes(sets).tobytes())
+
+    def run(batches):
+        have = np.frombuffer(sizes.value, np.uint8)
+        for batch in batches:
+            node, lists = batch.column(0).to_numpy(), batch.column(1)
+            value = lists.flatten().to_numpy()
+            n = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+            own = np.repeat(np.arange(len(n)), n)
+            common = have[value & np.int64((1 << SLOT_BITS) - 1)]
+            order = np.lexsort((value, common, own))
+            place = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
+            least = lambda top, bottom: (n - -(-top * n // bottom) + 1)[own]
+            keep = place < least(percent, 100)
+            few = place < least(2 * percent, 100 + percent)
+            keep &= common[order] > 1  # alone in its slot: no other set has it
+            yield pa.RecordBatch.from_arrays([pa.array(node[own[keep]]), pa.array(value[order][keep]), pa.array(few[keep])], ["node", "shingle", "small"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, shingle long, small boolean")
+
+
 def groups(docs: DataFrame, k: int = 4, percent: int = 80, bands: int = 30, per_band: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document.
 
@@ -272,16 +307,26 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 80, bands: int = 30, per_
     ``percent`` % in common (of their union) are linked; component_id is the least doc_id reachable. Banding misses a
     pair at exactly 80 % with probability (1 - 0.8^5)^30 = 7e-6, a closer one less; every candidate is decided on full
     sets. Null and empty texts and texts without words have no shingles and are linked with nothing. A row without
-    doc_id is linked with nothing, has no component_id and is kept. Rows that share a doc_id are one document."""
+    doc_id is linked with nothing, has no component_id and is kept. Rows that share a doc_id are one document: what any
+    of their texts is linked with, all are (those without words stay alone). doc_ids lie under 2^62."""
     docs = docs.select("doc_id", "text")
     own = written(profiles(docs, k, bands, per_band), "profiles")
+    key = ["key1", "key2", "n"]
     # equal sets first: one class, whatever its number of copies
-    sets = own.where("n > 0 and doc_id is not null").groupBy("key1", "key2", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("low"))
-    classes = written(sets.select(F.col("low.doc_id").alias("node"), "key1", "key2", "n", F.col("low.sketch").alias("sketch")), "classes")
+    known = own.where("n > 0 and doc_id is not null")
+    sets = known.groupBy(*key).agg(F.min(F.struct("doc_id", "sketch")).alias("low")).select(*key, F.col("low.doc_id").alias("doc_id"), F.col("low.sketch").alias("sketch"))
+    # the class with the least key is named by its doc_id, any other of that doc_id by a number of its own
+    first = sets.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("first"))
+    other = F.lit(SURROGATE) + F.xxhash64(*key).bitwiseAND(F.lit(SURROGATE - 1))
+    classes = written(sets.join(first, "doc_id").withColumn("node", F.when(F.struct(*key) == F.col("first"), F.col("doc_id")).otherwise(other)).drop("first"), "classes")
     links = _links(docs, classes, k, percent, bands, per_band)
-    comp = components(links)
-    by_key = classes.select("key1", "key2", "n", "node").join(comp, "node", "left").select("key1", "key2", "n", F.coalesce("component", "node").alias("component"))
-    out = own.drop("sketch").join(by_key, ["key1", "key2", "n"], "left")
+    # texts of one doc_id belong together
+    several = known.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).where("a <> b")
+    texts = known.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes.select(*key, "node"), key)
+    least = texts.groupBy("doc_id").agg(F.min("node").alias("a"))
+    comp = components(links.union(texts.join(least, "doc_id").select("a", F.col("node").alias("b"))))
+    by_key = classes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
+    out = own.drop("sketch").join(by_key, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -292,30 +337,35 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int
     banded = band_keys(classes, bands, per_band)
     full = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     member = written(banded.join(full, "band").select("band", "node", "pivot"), "buckets")
-    facts = classes.select("node", "key1", "n", "sketch")
+    facts = classes.select("node", "doc_id", "key1")
     active = facts.join(member.select("node").distinct(), "node", "left_semi")
-    sets = written(shingle_sets(docs, active.select("node", "key1"), k), "sets")
-    # first every class against the pivot it shares most bands with
+    sets = written(shingle_sets(docs, active, k), "sets")
+    # first every class against the pivot it shares most bands with; a pivot that many have is dealt to many keys
     tried = member.where("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", -F.col("pivot"))).alias("best")).select("node", (-F.col("best.col2")).alias("pivot"))
-    pair = tried.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("shingles").alias("s2")), "pivot")
+    tried = written(tried, "tried")
+    shares = _hot(tried.groupBy("pivot").agg(F.count("*").alias("c")), "pivot", tried.count()).select("pivot", F.ceil(F.col("c") / HOT).cast("int").alias("shares"))
+    dealt = tried.join(F.broadcast(shares), "pivot", "left").withColumn("share", F.pmod(F.xxhash64("node"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("shingles").alias("s2")).join(F.broadcast(shares), "pivot", "left")
+    pivots = pivots.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    pair = dealt.join(sets, "node").join(pivots, ["pivot", "share"])
     first = pair.where(_close(F.size(F.array_intersect("shingles", "s2")), F.col("n"), F.col("n2"), percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     first = written(first, "links")
     comp = components(first)
     # then what is left: buckets that still hold several components
-    facts = active.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("node", "n", "sketch", "comp")
-    # a bucket's main component is its pivot's: found on the one row where the pivot stands, not on every member's
-    heads = member.where("node = pivot").join(facts.select("node", F.col("comp").alias("main_comp")), "node").select("band", "main_comp")
-    located = member.join(facts.select("node", "comp"), "node").join(heads, "band")
-    dealt = _blocked(located, "band", F.col("comp") == F.col("main_comp"), BLOCK).select("band", "i", "j", "own", "node", "comp")
-    # many block pairs are tiny: some thousand rows of them share a call
-    packs = max(member.count() // PACK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("band", "i", "j"), F.lit(packs)))
-    hung = dealt.join(facts.select("node", "n", "sketch"), "node").groupBy("pack").applyInArrow(_agreeing(percent, LEAST_AGREEMENT), "node long, hub long")
-    hung = written(hung.distinct(), "hung")
+    comp = written(active.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "components")
+    mixed = member.join(comp, "node").groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
+    left = written(member.join(mixed, "band", "left_semi").select("node").distinct().join(comp, "node"), "left")
+    open_sets = sets.join(left, "node")
+    # classes that share one of their rarest shingles, at least one of them as the smaller set, hang together
+    rare = written(rarest(open_sets, percent).join(left, "node"), "rarest")
+    met = rare.groupBy("shingle").agg(F.min(F.when(F.col("small"), F.col("node"))).alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y and hub is not null")
+    hung = _met(rare.select("shingle", "node"), met.select("shingle", "hub", "c"), "shingle", rare.count()).select("node", "hub").where("node <> hub").distinct()
     cluster = components(hung, "node", "hub").withColumnRenamed("component", "cluster")
-    cluster = cluster.join(facts.select("node", "comp"), "node")
-    largest = cluster.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("m")).select("cluster", F.col("m.comp").alias("main_comp"))
-    dealt = _blocked(cluster.join(largest, "cluster"), "cluster", F.col("comp") == F.col("main_comp"), BLOCK // 2).select("cluster", "i", "j", "own", "node", "comp")
+    cluster = written(cluster.join(left, "node"), "clusters")
+    # a cluster's main component, by counts of components: one row each, not one a class
+    sizes = cluster.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("count").alias("c"))
+    main = sizes.where("comps > 1").select("cluster", F.col("m.comp").alias("main_comp"), "c", F.ceil(F.col("m.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("c") - F.col("m.count")) / BLOCK).cast("int").alias("others"))
+    dealt = _blocked(_met(cluster, main, "cluster", cluster.count())).select("cluster", "i", "j", "own", "node", "comp")
     second = dealt.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(_linking(percent), "a long, b long")
     return first.union(second)
 

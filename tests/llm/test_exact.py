@@ -123,6 +123,44 @@ def test_near_dedup_hard_family(spark):
     assert got == brute_groups(rows, 4, 80)
 
 
+def test_near_dedup_large_family_under_the_bound(spark):
+    """Thousands of classes at 0.75 of each other share all bands; their rarest shingles keep them apart."""
+    common = " ".join(f"c{i}" for i in range(63))
+    rows = [(i, common + "".join(f" u{i}x{j}" for j in range(10))) for i in range(4000)]
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(0, 4000, 40)]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(frame(spark, rows)).collect()}
+    assert got == {d: d if d < 5000 else d - 5000 for d, _ in rows}
+
+
+def test_near_dedup_texts_of_one_document(spark):
+    """Two texts of one doc_id, each the least of its class, and a third that belongs to a smaller document."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(1, text("a")), (7, text("a") + " z"), (7, text("b")), (7, text("c")), (9, text("b") + " y"), (12, text("c") + " y"), (13, text("d"))]
+    for given in (rows, rows[::-1], rows[1:]):
+        got = sorted(map(tuple, near_dedup.groups(frame(spark, given)).collect()), key=repr)
+        assert got == brute_groups(given, 4, 80)
+
+
+def test_rarest_shingles_meet(spark):
+    """Every linked pair shares a shingle of which the smaller set has it among its few."""
+    rng = random.Random(5)
+    sets = {}
+    for i in range(120):
+        base = set(range(i % 6 * 50, i % 6 * 50 + rng.randint(36, 50)))
+        sets[i] = (base - set(rng.sample(sorted(base), len(base) // 12))) | {rng.randrange(400, 900) for _ in range(rng.randint(0, 3))}
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "node long, shingles array<long>")
+    got = defaultdict(set)
+    for r in near_dedup.rarest(df, 80).collect():
+        got[r.node].add((r.shingle, r.small))
+    linked = 0
+    for i in sets:
+        for j in sets:
+            if i != j and len(sets[i]) <= len(sets[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                linked += 1
+                assert {x for x, small in got[i] if small} & {x for x, _ in got[j]}
+    assert linked > 50
+
+
 def test_keep_one(spark, corpus):
     kept = near_dedup.keep_one(frame(spark, corpus), 5)
     assert kept.columns == frame(spark, []).columns
