@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from .functions.paths import escaped
 from .operators import catalog, validation
 from .session import local_session, ship
-from .sources import archives, extract, writers
+from .sources import archives, dds, extract, writers
 
 
 def _workers(text: str) -> int:
-    n = int(text)
-    if not 1 <= n <= 1024:
-        raise argparse.ArgumentTypeError("workers: 1 to 1024")
-    return n
+    """Workers from 1 to 1024; ``auto`` and 0 are one a processor."""
+    n = 0 if text == "auto" else int(text)
+    if not 0 <= n <= 1024:
+        raise argparse.ArgumentTypeError("workers: 1 to 1024, auto or 0")
+    return n or min(os.cpu_count() or 1, 1024)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -36,12 +37,14 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("output")
             c.add_argument("--path", action="append")
             c.add_argument("--overwrite", action="store_true")
-            c.add_argument("--workers", type=_workers)
+            c.add_argument("-j", "--threads", "--workers", dest="workers", type=_workers)
     c = sub.add_parser("pack")
     c.add_argument("input")
     c.add_argument("output")
-    c.add_argument("--format", required=True, choices=[t for t, (family, _, _) in writers.TARGETS.items() if family != "dx10"])
-    c.add_argument("--compress", action="store_true")
+    c.add_argument("--format", required=True, choices=list(writers.TARGETS))
+    c.add_argument("--compress", choices=writers.POLICIES, default="default")
+    c.add_argument("--embed-names", action="store_true")
+    c.add_argument("-j", "--threads", "--workers", dest="workers", type=_workers)
     c.add_argument("--no-share", action="store_true")
     c.add_argument("--overwrite", action="store_true")
     return p
@@ -69,7 +72,7 @@ def listing(spark, a) -> int:
 
 def validate(spark, a) -> int:
     rows = archives.read_archives(spark, [a.archive])
-    first = validation.first_error(archives.checked(rows).unionByName(archives.checked_sizes(rows)), ["archive_id"]).first()
+    first = validation.first_error(archives.checked(rows), ["archive_id"]).first()
     facts = archives.archives(rows).withColumnRenamed("trailing_names", "file_name_table_has_trailing_bytes").withColumnRenamed("folder_names_mismatch", "folder_name_table_length_mismatch")
     facts = facts.withColumn("has_embedded_names", (F.col("variant") == "tes4") & (F.col("version") > 103) & (F.col("archive_flags").bitwiseAND(0x100) != 0))
     warned = validation.warnings(facts, archives.identity_mismatch(archives.entries(rows)), a.family)
@@ -110,12 +113,17 @@ def pack(spark, a) -> int:
     name, suffix = os.path.splitext(os.path.basename(a.output))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^file:/+", "/")
-    e = files.select(F.lit(name).alias("archive_id"), F.substring(rel, len(root) + 2, 1 << 20).alias("path"), F.col("content").alias("payload"), F.lit(a.compress).alias("compress"))
-    found = writers.problems(e).collect()
+    e = files.select(F.lit(name).alias("archive_id"), F.substring(rel, len(root) + 2, 1 << 20).alias("path"), F.col("content").alias("payload"))
+    found = writers.problems(e, a.format, a.embed_names).collect()
+    family, version, _ = writers.TARGETS[a.format]
+    if family == "dx10" and not found:
+        textures = e.withColumnRenamed("payload", "content")
+        found = dds.rejected(textures, newest=version > 1).collect()
     if found or not e.take(1):
         _show(found)
         return 1
-    done = writers.write(writers.segments(e, a.format, not a.no_share), os.path.dirname(os.path.abspath(a.output)), suffix, a.overwrite).collect()
+    source = dds.chunks(textures) if family == "dx10" else e
+    done = writers.write(writers.segments(source, a.format, not a.no_share, a.compress, a.embed_names), os.path.dirname(os.path.abspath(a.output)), suffix, a.overwrite).collect()
     _show(done)
     return int(any(r.failure for r in done))
 

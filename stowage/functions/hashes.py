@@ -20,9 +20,10 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
-def name_bytes(name: Column) -> Column:
-    """Bytes of a name as longs, A-Z in lower case."""
-    one_each = F.decode(F.encode(F.translate(name, UPPER, LOWER), "UTF-8"), "ISO-8859-1")  # a character for each byte
+def name_bytes(name: Column, encoding: str = "UTF-8") -> Column:
+    """Bytes of a name as longs, A-Z in lower case. A name of unknown encoding comes as ISO-8859-1, a character a byte."""
+    one_each = F.translate(name, UPPER, LOWER)
+    one_each = one_each if encoding == "ISO-8859-1" else F.decode(F.encode(one_each, encoding), "ISO-8859-1")  # a character for each byte
     return F.transform(F.filter(F.split(one_each, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
 
@@ -65,26 +66,26 @@ def _xor_fold(data: Column, rotate: bool) -> Column:
     return F.aggregate(data, start, step, lambda acc: acc["sum"])
 
 
-def hash_tes3(name: Column) -> Column:
+def hash_tes3(name: Column, encoding: str = "UTF-8") -> Column:
     """Over the name as stored; separators are not folded."""
     def halves(data: Column) -> Column:
         half = F.floor(F.size(data) / 2).cast("int")
         return joined(_xor_fold(F.slice(data, F.lit(1), half), False), _xor_fold(F.slice(data, half + 1, F.size(data)), True))
 
-    return bound(name_bytes(name), halves)
+    return bound(name_bytes(name, encoding), halves)
 
 
 def _multiply_fold(data: Column) -> Column:
     return F.aggregate(data, _long(0), lambda h, b: (b + h * 65599).bitwiseAND(_long(M32)))
 
 
-def hash_tes4(stem: Column, extension: Column) -> Column:
+def hash_tes4(stem: Column, extension: Column, encoding: str = "UTF-8") -> Column:
     """Of a file stem and its extension with the dot, or of a folder with an empty extension."""
     first4 = F.substring(F.translate(extension, UPPER, LOWER), 1, 4)
     bits = _long(0)
     for e, b in EXTENSION_BITS.items():
         bits = F.when(first4 == e, _long(b)).otherwise(bits)
-    ext = _multiply_fold(name_bytes(extension))
+    ext = _multiply_fold(name_bytes(extension, encoding))
 
     def parts(name: Column) -> Column:
         n = F.size(name)
@@ -93,7 +94,7 @@ def hash_tes4(stem: Column, extension: Column) -> Column:
         high = (_multiply_fold(F.slice(name, F.lit(2), F.greatest(n - 3, F.lit(0)))) + ext).bitwiseAND(_long(M32))
         return F.when(n == 0, _long(0)).otherwise(joined(high, low.bitwiseOR(bits)))
 
-    return bound(name_bytes(stem), parts)
+    return bound(name_bytes(stem, encoding), parts)
 
 
 def hash_fo4(name: Column) -> Column:

@@ -77,8 +77,20 @@ def is_safe_destination(path: Column) -> Column:
 
 
 def escaped(text: Column) -> Column:
-    """Control characters and backslashes made visible for one-line listings."""
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for raw, seen in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(raw), F.lit(seen))
+    """Control characters made visible for one-line listings: by letter or as ``\\xNN``; backslashes stay as they are."""
+    out = text
+    for code in (*range(32), 127):
+        seen = {9: "\\t", 10: "\\n", 13: "\\r"}.get(code, f"\\x{code:02X}")
+        out = F.replace(out, F.lit(chr(code)), F.lit(seen))
     return out
+
+
+def diagnostic(text: Column) -> Column:
+    """A message without the path it names, to compare those of different runs."""
+    return F.trim(F.regexp_replace(text, r"['\"]?(?:[A-Za-z]:[\\/]|/)[^'\":]*['\"]?", "<path>"))
+
+
+def host_path_error(raw: Column) -> Column:
+    """``invalid_argument`` for a host path (as bytes) that is null, isn't UTF-8, or holds a NUL; else null."""
+    bad = raw.isNull() | ~F.is_valid_utf8(raw.cast("string")) | (F.instr(F.decode(raw, "ISO-8859-1"), "\0") > 0)
+    return F.when(bad, F.lit("invalid_argument"))

@@ -35,13 +35,13 @@ def bulk(requests: DataFrame, entries: DataFrame, most: int | None = None) -> Da
     """requests(ord, path) -> ord, path, first_ord, failure and the entry, one row a request.
 
     Requests for the same spelling are worked once and mirror the first. A path that is not valid fails with
-    ``invalid_argument``, one without an entry with ``not_found``, an entry over ``most`` raw bytes with ``too_large``."""
+    ``invalid_argument``, one without an entry with ``not_found``, one whose raw size can't be read with ``format_error``, an entry over ``most`` raw bytes with ``too_large``."""
     first = requests.groupBy("path").agg(F.min("ord").alias("first_ord")).withColumn("_key", canonical(F.col("path")))
-    found = first.join(entries.withColumnRenamed("path", "_key"), "_key", "left")
-    failure = F.when(F.col("_key").isNull(), "invalid_argument").when(F.col("raw_size").isNull(), "not_found")
+    found = first.join(entries.withColumnRenamed("path", "_key").withColumn("_there", F.lit(True)), "_key", "left")
+    failure = F.when(F.col("_key").isNull(), "invalid_argument").when(F.col("_there").isNull(), "not_found").when(F.col("raw_size").isNull(), "format_error")
     if most is not None:
         failure = failure.when(F.col("raw_size") > most, "too_large")
-    worked = found.withColumn("failure", failure).drop("_key")
+    worked = found.withColumn("failure", failure).drop("_key", "_there")
     return requests.select("ord", F.col("path").alias("_p")).join(worked.withColumnRenamed("path", "_p"), "_p").withColumnRenamed("_p", "path")
 
 

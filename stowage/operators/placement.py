@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from . import hot
+
 #: Ordinals whose rows share a task when running sums are taken.
 ORDINALS = 4096
 
@@ -28,34 +31,56 @@ def running_offset(rows: DataFrame, archive: str, ord_: str, size: str, name: st
     return out.select(*rows.columns, name)
 
 
+#: Entries of one payload that are compared with its first in one task.
+TOGETHER = 256
+
+
 def place(entries: DataFrame, archive: str, ord_: str, payload: str, facts: tuple[str, ...] = (), share: bool = True, base: int = 0) -> DataFrame:
     """``entries`` with size, rep (ordinal of the entry whose payload is stored), offset and shared.
 
     Entries of an archive whose payloads are equal, and whose ``facts`` are, are stored once, where the first stands.
-    Length and hash narrow the search, the bytes decide: groups form on the payload itself, but payloads that no
-    other entry of equal length and hash has are never shuffled by content. Empty payloads take the cursor and do
-    not move it. Null payloads count as empty. With ``share`` off every entry is stored."""
-    sized = entries.withColumn("size", F.coalesce(F.octet_length(payload), F.lit(0)).cast("long"))
-    if share:
-        keyed = sized.withColumn("_hash", F.xxhash64(F.coalesce(F.col(payload).cast("binary"), F.lit(b""))))
-        facts_key = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_f{i}") for i, f in enumerate(facts)]
-        keyed = keyed.select("*", *facts_key)
-        key = [archive, "size", "_hash", *(f"_f{i}" for i in range(len(facts)))]
-        # the first entry for each (length, hash), pre-aggregated, with its bytes; then bytes are compared with it
-        first = keyed.groupBy(*key).agg(F.min(F.struct(F.col(ord_).alias("o"), F.col(payload).alias("p"))).alias("first"))
-        met = keyed.join(first, key)
-        same = F.col("first.p").eqNullSafe(F.col(payload)) | (F.col("size") == 0)
-        agreed = met.where(same).select(*entries.columns, "size", F.col("first.o").alias("rep"))
-        # another payload of equal length and hash: the few that are left group on their bytes
-        other = met.where(~same)
-        w = Window.partitionBy(*key, payload)
-        other = other.withColumn("rep", F.min(ord_).over(w)).select(*entries.columns, "size", "rep")
-        placed = agreed.unionByName(other)
-    else:
-        placed = sized.withColumn("rep", F.col(ord_))
-    stored = running_offset(placed.where(F.col("rep") == F.col(ord_)).select(archive, ord_, "size"), archive, ord_, "size", base=base)
-    stored = stored.select(archive, F.col(ord_).alias("rep"), "offset")
-    return placed.join(stored, [archive, "rep"]).withColumn("shared", F.col("rep") != F.col(ord_)).select(*entries.columns, "size", "rep", "offset", "shared")
+    Length and hash narrow the search, the bytes decide: only payloads of which another entry has length and hash are
+    shuffled, a payload that many have in parts of ``TOGETHER`` entries. Empty payloads take the cursor and do not move
+    it. Null payloads count as empty. With ``share`` off every entry is stored. Ordinals are unique in an archive; rows
+    without archive or ordinal have no place and are left out."""
+    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    facts_key = {f"_f{i}": F.coalesce(F.col(f).cast("string"), F.lit("")) for i, f in enumerate(facts)}
+    keyed = entries.select(F.col(archive).alias("_a"), F.col(ord_).cast("long").alias("_o"), F.octet_length(body).cast("long").alias("size"), F.xxhash64(body, *facts_key.values()).alias("_hash"), *(c.alias(n) for n, c in facts_key.items()), body.alias("_p")).where("_a is not null and _o is not null")
+    slim = written(keyed.drop("_p"), "sizes")
+    placed = _reps(keyed, slim, ["_a", "size", "_hash", *facts_key]) if share else slim.select("_a", "_o", "size", F.col("_o").alias("rep"))
+    placed = written(placed, "reps")
+    stored = running_offset(placed.where("rep = _o").select("_a", "_o", "size"), "_a", "_o", "size", base=base)
+    one = stored.select("_a", "_o", F.col("_o").alias("rep"), "offset", "size")
+    # what shares a payload learns its offset from the first entry, in parts if many do
+    copies = placed.where("rep <> _o").withColumn("_part", F.pmod(F.xxhash64("_o"), F.lit(PARTS)))
+    firsts = stored.select("_a", F.col("_o").alias("rep"), "offset").join(copies.select("_a", "rep", "_part").distinct(), ["_a", "rep"])
+    rest = copies.join(firsts, ["_a", "rep", "_part"]).select("_a", "_o", "rep", "offset", "size")
+    offsets = one.unionByName(rest).withColumnsRenamed({"_a": archive, "_o": ord_})
+    taken = [c for c in entries.columns if c not in ("size", "rep", "offset", "shared")]
+    out = entries.select(*taken).withColumn(ord_, F.col(ord_).cast("long")).join(offsets, [archive, ord_]).withColumn("shared", F.col("rep") != F.col(ord_))
+    return out.select(*taken, "size", "rep", "offset", "shared")
+
+
+#: Parts into which the copies of a payload are dealt when they look up where it is stored.
+PARTS = 64
+
+
+def _reps(keyed: DataFrame, slim: DataFrame, key: list[str]) -> DataFrame:
+    """_a, _o, size, rep: the first entry with the same bytes and facts."""
+    groups = slim.groupBy(*key).agg(F.min("_o").alias("rep"), F.count("*").alias("_n"))
+    several = groups.where("_n > 1")
+    seen = hot.met(slim, several, key, "_n", slim.count())
+    sure = slim.join(groups.where("_n = 1").select(*key), key, "left_semi").select("_a", "_o", "size", F.col("_o").alias("rep"))
+    empty = seen.where("size = 0").select("_a", "_o", "size", "rep")
+    twins = written(seen.where("size > 0"), "twins")
+    bodies = keyed.where(hot.membership(twins, "_hash")(F.col("_hash"))).select("_a", "_o", "_p").join(twins, ["_a", "_o"])
+    bodies = bodies.withColumn("_parts", F.ceil(F.col("_n") / TOGETHER).cast("int"))
+    first = bodies.where("_o = rep").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("_a", "rep", *key[3:], "_part", F.col("_p").alias("_q"))
+    met = bodies.withColumn("_part", F.pmod(F.xxhash64("_o"), F.col("_parts")).cast("int")).join(first, ["_a", "rep", *key[3:], "_part"])
+    agreed = met.where("_p = _q").select("_a", "_o", "size", "rep")
+    # another payload of equal length and hash: the few that are left group on their bytes
+    other = met.where("_p <> _q").withColumn("rep", F.min("_o").over(Window.partitionBy(*key, "_p"))).select("_a", "_o", "size", "rep")
+    return sure.unionByName(empty).unionByName(agreed).unionByName(other)
 
 
 def stored_bytes(placed: DataFrame, archive: str, base: int = 0) -> DataFrame:

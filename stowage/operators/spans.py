@@ -1,8 +1,8 @@
 """Checks over byte ranges and record order of an archive.
 
-An ordered check needs each row's predecessor only. Rows are range-partitioned by (archive, order), so one archive
-spreads over tasks; within a partition ``lag`` finds the predecessor, and the last row of each partition, one row a
-task, is handed to the next.
+An ordered check needs what came before a row only. Rows are cut into blocks along the order (of offsets or record
+numbers), so that one archive spreads over tasks; a window sees the rows of a block, and each block hands what the next
+needs on through a window over one row a block.
 """
 
 from __future__ import annotations
@@ -33,6 +33,21 @@ def overlaps(spans: DataFrame, archive: str, start: str, size: str, allow_equal:
     return with_previous(full, archive, ["start", "stop"], "stop", F.floor(F.col("start") / block_size)).where("prev > start").select(archive, "start", "stop", F.col("prev").alias("prev_stop"))
 
 
+def clashes(rows: DataFrame, archive: str, start: str, size: str, index: str, block_size: int = 1 << 16) -> DataFrame:
+    """(archive, index): the later record of full spans that partly overlap; equal spans are one, of its least index.
+
+    Each span is held against the one before it that reaches furthest. A span that several others overlap is reported
+    against that one only; some row is given iff two spans overlap."""
+    full = rows.where((F.col(size) > 0) & F.col(start).isNotNull()).groupBy(archive, F.col(start).alias("_start"), (F.col(start) + F.col(size)).alias("_stop")).agg(F.min(index).alias(index))
+    full = full.withColumn("_b", F.floor(F.col("_start") / block_size)).withColumn("_reach", F.struct("_stop", -F.col(index)))
+    blocks = full.groupBy(archive, "_b").agg(F.max("_reach").alias("_top"))
+    blocks = blocks.select(archive, "_b", F.max("_top").over(Window.partitionBy(archive).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inner = F.max("_reach").over(Window.partitionBy(archive, "_b").orderBy("_start", "_stop").rowsBetween(Window.unboundedPreceding, -1))
+    prev = F.greatest(F.col("_before"), inner)
+    found = full.join(blocks, [archive, "_b"]).withColumn("_prev", prev).where("_prev._stop > _start")
+    return found.select(archive, F.greatest(F.col(index), -F.col("_prev.col2")).alias(index))
+
+
 def exclusivity(spans: DataFrame, archive: str, start: str, size: str, allow_equal: bool = True) -> DataFrame:
     """One row an archive: number of full spans, of distinct ones, of overlapping neighbours, and whether it passes."""
     full = spans.where((F.col(size) > 0) & F.col(start).isNotNull())

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADER = 148
+#: Marks of records that are cube maps and that are none (fixed values of the format).
+CUBE, FLAT = 2049, 2048
 #: Pixel formats by number: name, bytes a block, pixels along a block's side (fixed values of the format).
 FORMATS = (
     (28, "R8G8B8A8_UNORM", 4, 1), (29, "R8G8B8A8_UNORM_SRGB", 4, 1), (31, "R8G8B8A8_SNORM", 4, 1), (61, "R8_UNORM", 1, 1), (71, "BC1_UNORM", 8, 4),

@@ -59,5 +59,8 @@ def report(archives: DataFrame, errors: DataFrame, warned: DataFrame) -> DataFra
 
 
 def too_large(entries: DataFrame, limit: int = EXTRACT_LIMIT) -> DataFrame:
-    """Entries that an extraction check leaves out: raw or stored size over the limit."""
-    return entries.where((F.col("raw_size") > limit) | (F.col("stored_size") > limit))
+    """Entries that an extraction check leaves out: raw or stored size over the limit, of the whole or of a chunk."""
+    over = (F.col("raw_size") > limit) | (F.col("stored_size") > limit)
+    if "chunks" in entries.columns:
+        over |= F.coalesce(F.exists("chunks", lambda c: (c["raw_size"] > limit) | (c["stored_size"] > limit)), F.lit(False))
+    return entries.where(over)

@@ -245,15 +245,26 @@ SELECT p_partkey, r.f::BIGINT AS first_mip, r.l::BIGINT AS last_mip, list_sum([c
 
 
 def mip_sequence_check(spark, d):
-    """Turns of a conversation as the chunks of a texture with as many mips as the last turn says."""
-    c = _t(spark, d, "conversations").where("turn is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").cast("int").alias("start_mip"), F.col("turn").cast("int").alias("end_mip")))).alias("chunks"))
-    return c.select("conv_id", F.size("chunks").cast("long").alias("chunk_count"), textures.sequence_error(F.col("chunks"), F.array_max("chunks")["end_mip"] + 1).alias("error"))
-
-
+    """Lines of an order as the chunks of a 16 x 16 texture: two mips, a cube map if the customer is even; null: sound."""
+    q = F.col("l_quantity").cast("int")
+    first = ((F.col("l_linenumber") - 1) % 2).cast("int")
+    last = F.when(q % 7 == 0, first + 1).otherwise(first)
+    size = F.when(first == 0, 1024).otherwise(256).cast("long") + F.when(q % 11 == 0, 4).otherwise(0)
+    c = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("nth"), first.alias("start_mip"), last.alias("end_mip"), size.alias("raw_size")))).alias("chunks"))
+    cube = F.col("l_orderkey") % 2 == 0
+    error = textures.layout_error(F.col("chunks"), F.lit(16), F.lit(16), F.lit(2), cube, F.lit(4), F.lit(1))
+    return c.select("l_orderkey", F.size("chunks").cast("long").alias("chunk_count"), error.alias("error"))
+
+
+#: Sound chunks alternate between mips 0 and 1, so chunk n (from 1) belongs to face (n - 1) / 2. What differs first is
+#: the error; a slice has six faces in a cube map, else one. Lines of an order are numbered without a gap.
 MIP_SEQUENCE = """
-WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations WHERE turn IS NOT NULL),
-w AS (SELECT conv_id, k, turn, CASE WHEN p IS NULL THEN 0 WHEN p + 1 >= top + 1 THEN 0 ELSE p + 1 END AS want FROM t)
-SELECT conv_id, count(*) AS chunk_count, arg_min(CASE WHEN turn > want THEN 'gap' ELSE 'overlap' END, k) FILTER (turn <> want) AS error FROM w GROUP BY conv_id"""
+WITH c AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_linenumber - 1) % 2 AS s, l_quantity::INT AS q FROM lineitem),
+t AS (SELECT *, s + CASE WHEN q % 7 = 0 THEN 1 ELSE 0 END AS e, CASE WHEN s = 0 THEN 1024 ELSE 256 END + CASE WHEN q % 11 = 0 THEN 4 ELSE 0 END AS z, sum(CASE WHEN s = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS tops, lag(CASE WHEN q % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY n) AS wide FROM c),
+f AS (SELECT *, CASE WHEN k % 2 = 0 THEN greatest(tops // 6, 1) * 6 ELSE tops END AS faces FROM t),
+x AS (SELECT *, CASE WHEN (n - 1) // 2 >= faces THEN 'surplus' WHEN e > 1 THEN 'range' WHEN s = 1 AND coalesce(wide, 0) = 1 THEN 'gap'
+        WHEN z <> CASE WHEN s = 0 AND e = 0 THEN 1024 WHEN s = 0 THEN 1280 ELSE 256 END THEN 'size' END AS bad FROM f)
+SELECT k AS l_orderkey, count(*) AS chunk_count, coalesce(arg_min(bad, n) FILTER (bad IS NOT NULL), CASE WHEN any_value(faces) * 2 <> count(*) THEN 'incomplete' END) AS error FROM x GROUP BY k"""
 
 
 def range_join_chunks(spark, d):
@@ -377,6 +388,45 @@ SELECT archive_id, 0 AS phase, min(record_index) AS record_index, arg_min(code,
 FROM ({_ORDER_RULES}) GROUP BY archive_id"""
 
 
+def first_error_by_family(spark, d):
+    """Orders as records of archives of four families, each with the order of checks of its family."""
+    o = _t(spark, d, "orders").select((F.col("o_custkey") % 400).alias("archive_id"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    family = F.col("archive_id") % 4
+    breaks = {"name": F.col("o_totalprice") < 2000, "hash": F.col("o_orderstatus") == "P", "span": F.col("o_totalprice") > 420_000, "overlap": F.col("o_orderkey") % 97 == 0}
+    order = {0: (("hash", "name", "span"), ("overlap",)), 1: (("name", "hash", "span", "overlap"), ()), 2: (("name", "span", "overlap"), ()), 3: (("span", "overlap"), ("name", "hash"))}
+    found = None
+    for number, phases in order.items():
+        for phase, names in enumerate(phases):
+            if names:
+                part = validation.violations(o.where(family == number), ["archive_id"], "o_orderkey", [(n, "format_error", breaks[n]) for n in names], phase=phase)
+                found = part if found is None else found.unionByName(part)
+    return validation.first_error(found, ["archive_id"])
+
+
+FIRST_BY_FAMILY = """
+WITH r AS (SELECT o_custkey % 400 AS archive_id, o_orderkey AS i, o_totalprice < 2000 AS b_name, o_orderstatus = 'P' AS b_hash, o_totalprice > 420000 AS b_span, o_orderkey % 97 = 0 AS b_overlap FROM orders),
+v AS (SELECT archive_id, i, x.phase, x.rank, x.rule FROM r, LATERAL (VALUES
+  (0, 0, 0, 'hash', b_hash), (0, 0, 1, 'name', b_name), (0, 0, 2, 'span', b_span), (0, 1, 0, 'overlap', b_overlap),
+  (1, 0, 0, 'name', b_name), (1, 0, 1, 'hash', b_hash), (1, 0, 2, 'span', b_span), (1, 0, 3, 'overlap', b_overlap),
+  (2, 0, 0, 'name', b_name), (2, 0, 1, 'span', b_span), (2, 0, 2, 'overlap', b_overlap),
+  (3, 0, 0, 'span', b_span), (3, 0, 1, 'overlap', b_overlap), (3, 1, 0, 'name', b_name), (3, 1, 1, 'hash', b_hash)) x(family, phase, rank, rule, broken)
+  WHERE family = archive_id % 4 AND broken),
+n AS (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY phase, i, rank) AS k, count(*) OVER (PARTITION BY archive_id) AS c FROM v)
+SELECT archive_id, phase, i AS record_index, 'format_error' AS code, rule, c AS violations FROM n WHERE k = 1"""
+
+
+def span_clashes(spark, d):
+    """The later record of spans that partly overlap, by supplier: line items as spans."""
+    lines = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("archive"), (F.col("l_partkey") * 1000).alias("at"), (F.col("l_quantity") * 20).cast("long").alias("size"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("record"))
+    return spans.clashes(lines, "archive", "at", "size", "record")
+
+
+SPAN_CLASHES = """
+WITH s AS (SELECT l_suppkey AS archive, l_partkey * 1000 AS a, l_partkey * 1000 + (l_quantity * 20)::BIGINT AS b, min(l_orderkey * 8 + l_linenumber) AS r FROM lineitem WHERE (l_quantity * 20)::BIGINT > 0 GROUP BY ALL),
+p AS (SELECT archive, a, r, max({'b': b, 'n': -r}) OVER (PARTITION BY archive ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)
+SELECT archive, greatest(r, -m.n)::BIGINT AS record FROM p WHERE m.b > a"""
+
+
 def validation_report(spark, d):
     archives = _archive_facts(spark, d)
     errors = _t(spark, d, "documents").where("n_chars > 15000").select(F.col("lang").alias("archive_id"))
@@ -463,10 +513,10 @@ def slowest_runs(spark, d):
 SLOWEST = "SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 15"
 
 # -- whole archives -----------------------------------------------------------------------------------------------
-def _plan(spark, d, target):
+def _plan(spark, d, target, embed=False):
     """Documents as one archive a language: what its segments sum to, and whether they follow each other without a gap."""
     docs = _t(spark, d, "documents").select(F.col("lang").alias("archive_id"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("payload"))
-    s = writers.segments(docs, target).select("archive_id", "offset", F.octet_length("data").cast("long").alias("bytes")).withColumn("stop", F.col("offset") + F.col("bytes")).where("bytes > 0")
+    s = writers.segments(docs, target, policy="raw", embed=embed).select("archive_id", "offset", F.octet_length("data").cast("long").alias("bytes")).withColumn("stop", F.col("offset") + F.col("bytes")).where("bytes > 0")
     broken = spans.with_previous(s.select("archive_id", "offset", "stop"), "archive_id", ["offset"], "stop", F.floor(F.col("offset") / (1 << 20))).where("coalesce(prev, 0) <> offset").groupBy("archive_id").agg(F.count("*").alias("gaps"))
     total = s.groupBy("archive_id").agg(F.sum("bytes").cast("long").alias("total_bytes"), F.max("stop").alias("last_byte"))
     return total.join(broken, "archive_id", "left").na.fill(0, ["gaps"])
@@ -484,22 +534,29 @@ def archive_plan_tes4(spark, d):
     return _plan(spark, d, "bsa-fo3")
 
 
+def archive_plan_embedded(spark, d):
+    return _plan(spark, d, "bsa-sse", embed=True)
+
+
 _ARCHIVE_FILES = "f AS (SELECT lang AS archive_id, source, doc_id, doc_id || '.txt' AS file, source || '/' || doc_id || '.txt' AS path, text, strlen(text) AS size FROM documents), d AS (SELECT archive_id, sum(size) AS data FROM (SELECT DISTINCT archive_id, text, size FROM f) GROUP BY archive_id)"
 PLAN_GNRL = f"WITH {_ARCHIVE_FILES} SELECT archive_id, (24 + count(*) * 36 + any_value(data) + sum(strlen(path) + 2))::BIGINT AS total_bytes, (24 + count(*) * 36 + any_value(data) + sum(strlen(path) + 2))::BIGINT AS last_byte, 0::BIGINT AS gaps FROM f JOIN d USING (archive_id) GROUP BY archive_id"
 PLAN_TES3 = f"WITH {_ARCHIVE_FILES} SELECT archive_id, (12 + count(*) * 20 + sum(size) + sum(strlen(path) + 1))::BIGINT AS total_bytes, (12 + count(*) * 20 + sum(size) + sum(strlen(path) + 1))::BIGINT AS last_byte, 0::BIGINT AS gaps FROM f GROUP BY archive_id"
 PLAN_TES4 = f"""WITH {_ARCHIVE_FILES}, g AS (SELECT archive_id, sum(18 + strlen(source)) AS folders FROM (SELECT DISTINCT archive_id, source FROM f) GROUP BY archive_id),
 t AS (SELECT archive_id, (36 + any_value(folders) + count(*) * 16 + sum(strlen(file) + 1) + any_value(data))::BIGINT AS n FROM f JOIN d USING (archive_id) JOIN g USING (archive_id) GROUP BY archive_id)
 SELECT archive_id, n AS total_bytes, n AS last_byte, 0::BIGINT AS gaps FROM t"""
+PLAN_EMBEDDED = f"""WITH {_ARCHIVE_FILES}, g AS (SELECT archive_id, sum(26 + strlen(source)) AS folders FROM (SELECT DISTINCT archive_id, source FROM f) GROUP BY archive_id),
+t AS (SELECT archive_id, (36 + any_value(folders) + count(*) * 16 + sum(strlen(file) + 1) + sum(1 + strlen(path) + size))::BIGINT AS n FROM f JOIN g USING (archive_id) GROUP BY archive_id)
+SELECT archive_id, n AS total_bytes, n AS last_byte, 0::BIGINT AS gaps FROM t"""
 
 _PAIRS = (
     (path_normalize, PATH_NORMALIZE), (path_parts, PATH_PARTS), (destination_safety, DESTINATION_SAFETY), (name_hashes, NAME_HASHES), (numbers_round_trip, NUMBERS),
     (placement_shared, _placement_sql("lang, text", 0)), (placement_unshared, _placement_sql("doc_id", 36)), (placement_constrained, _placement_sql("lang, text, source", 24)), (placement_next_offset, NEXT_OFFSET),
-    (folder_group, FOLDER_GROUP), (folder_block_offsets, FOLDER_BLOCKS), (span_exclusivity, _span_sql("DISTINCT")), (span_exclusivity_strict, _span_sql("")), (record_order_check, RECORD_ORDER),
+    (folder_group, FOLDER_GROUP), (folder_block_offsets, FOLDER_BLOCKS), (span_exclusivity, _span_sql("DISTINCT")), (span_exclusivity_strict, _span_sql("")), (span_clashes, SPAN_CLASHES), (record_order_check, RECORD_ORDER),
     (duplicate_paths, DUPLICATE_PATHS), (span_bounds, SPAN_BOUNDS), (chunk_rollup, CHUNK_ROLLUP), (mip_sizes, MIP_SIZES), (mip_ranges, MIP_RANGES), (mip_sequence_check, MIP_SEQUENCE), (range_join_chunks, RANGE_JOIN),
     (catalog_listing, _CATALOG), (catalog_find, f"SELECT * FROM ({_CATALOG}) WHERE path = 'src1/1.txt'"), (catalog_contains, CATALOG_CONTAINS), (bulk_requests, BULK_REQUESTS), (bulk_outcome, BULK_OUTCOME),
-    (folder_failures, FOLDER_FAILURES), (parent_folders, PARENT_FOLDERS), (validation_warnings, VALIDATION_WARNINGS), (first_error_precedence, FIRST_ERROR), (validation_report, VALIDATION_REPORT), (size_bound_filter, SIZE_BOUND),
+    (folder_failures, FOLDER_FAILURES), (parent_folders, PARENT_FOLDERS), (validation_warnings, VALIDATION_WARNINGS), (first_error_precedence, FIRST_ERROR), (first_error_by_family, FIRST_BY_FAMILY), (validation_report, VALIDATION_REPORT), (size_bound_filter, SIZE_BOUND),
     (catalog_compare, CATALOG_COMPARE), (baseline_verify, BASELINE_VERIFY), (payload_digest, PAYLOAD_DIGEST), (run_best, RUN_BEST), (run_speedup, RUN_SPEEDUP), (multiset_compare, MULTISET), (slowest_runs, SLOWEST),
-    (archive_plan_gnrl, PLAN_GNRL), (archive_plan_tes3, PLAN_TES3), (archive_plan_tes4, PLAN_TES4),
+    (archive_plan_gnrl, PLAN_GNRL), (archive_plan_tes3, PLAN_TES3), (archive_plan_tes4, PLAN_TES4), (archive_plan_embedded, PLAN_EMBEDDED),
 )
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLE_SQL = {f.__name__: sql for f, sql in _PAIRS}

@@ -42,15 +42,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df, name: str):
-    """``df`` written to the shared folder and read again, so that plans built on it stay small and work is done once.
-
-    The folder is ``spark.checkpoint.dir``, which all executors share; one is set only where none is (tests)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Only a session on one machine (tests) may do without and gets one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared
+
+
+def written(df, name: str):
+    """``df`` written to the shared folder and read again, so that plans built on it stay small and work is done once.
+
+    The folder is ``spark.checkpoint.dir``, which all executors share. Files stay there for as long as results may be
+    read; whoever owns the folder clears it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ def test_pack_list_validate_unpack(spark, tmp_path, capsys):
     (src / "a b.txt").write_bytes(b"hello" * 20)
     (src / "Sound/x.wav").write_bytes(b"wave" * 300)
     out = tmp_path / "made.ba2"
-    assert run(capsys, "pack", src, out, "--format", "ba2-gnrl-fo4", "--compress")[0] == 0
+    assert run(capsys, "pack", src, out, "--format", "ba2-gnrl-fo4", "--compress", "compressed", "-j", "auto")[0] == 0
     assert run(capsys, "pack", src, out, "--format", "ba2-gnrl-fo4")[0] == 1  # exists
     code, text = run(capsys, "list", out, "--details")
     assert code == 0 and [x.split("\t")[0] for x in text.splitlines()] == ["a b.txt", "sound/x.wav"]
@@ -33,7 +33,7 @@ def test_pack_list_validate_unpack(spark, tmp_path, capsys):
 
 
 def test_usage():
-    for args in ([], ["pack", "a", "b"], ["unpack", "a", "b", "--workers", "0"], ["pack", "a", "b", "--format", "zip"]):
+    for args in ([], ["pack", "a", "b"], ["unpack", "a", "b", "--workers", "-1"], ["pack", "a", "b", "--format", "zip"]):
         with pytest.raises(SystemExit) as e:
             cli._parser().parse_args(args)
         assert e.value.code == 2
