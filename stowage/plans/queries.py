@@ -245,21 +245,24 @@ SELECT p_partkey, r.f::BIGINT AS first_mip, r.l::BIGINT AS last_mip, list_sum([c
 
 
 def mip_sequence_check(spark, d):
-    """Lines of an order as the chunks of a 16 x 16 texture: two mips, a cube map if the customer is even; null: sound."""
-    q = F.col("l_quantity").cast("int")
-    first = ((F.col("l_linenumber") - 1) % 2).cast("int")
-    last = F.when(q % 7 == 0, first + 1).otherwise(first)
-    size = F.when(first == 0, 1024).otherwise(256).cast("long") + F.when(q % 11 == 0, 4).otherwise(0)
-    c = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("nth"), first.alias("start_mip"), last.alias("end_mip"), size.alias("raw_size")))).alias("chunks"))
-    cube = F.col("l_orderkey") % 2 == 0
-    error = textures.layout_error(F.col("chunks"), F.lit(16), F.lit(16), F.lit(2), cube, F.lit(4), F.lit(1))
+    """Lines of an order as the chunks of a 16 x 16 texture: two mips, a cube map if the key is even; null: sound."""
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey"), F.col("l_quantity").cast("int").alias("q")))).alias("lines"))
+
+    def chunk(x, i):
+        first = i % 2
+        size = F.when(first == 0, 1024).otherwise(256) + F.when(x["q"] % 11 == 0, 4).otherwise(0)
+        return F.struct(first.cast("int").alias("start_mip"), (first + F.when(x["q"] % 7 == 0, 1).otherwise(0)).cast("int").alias("end_mip"), size.cast("long").alias("raw_size"))
+
+    c = lines.withColumn("chunks", F.transform("lines", chunk))
+    error = textures.layout_error(F.col("chunks"), F.lit(16), F.lit(16), F.lit(2), F.col("l_orderkey") % 2 == 0, F.lit(4), F.lit(1))
     return c.select("l_orderkey", F.size("chunks").cast("long").alias("chunk_count"), error.alias("error"))
 
 
 #: Sound chunks alternate between mips 0 and 1, so chunk n (from 1) belongs to face (n - 1) / 2. What differs first is
-#: the error; a slice has six faces in a cube map, else one. Lines of an order are numbered without a gap.
+#: the error; a slice has six faces in a cube map, else one. Sizes never fit the tail of a cube map.
 MIP_SEQUENCE = """
-WITH c AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_linenumber - 1) % 2 AS s, l_quantity::INT AS q FROM lineitem),
+WITH r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n, trunc(l_quantity)::INT AS q FROM lineitem),
+c AS (SELECT *, (n - 1) % 2 AS s FROM r),
 t AS (SELECT *, s + CASE WHEN q % 7 = 0 THEN 1 ELSE 0 END AS e, CASE WHEN s = 0 THEN 1024 ELSE 256 END + CASE WHEN q % 11 = 0 THEN 4 ELSE 0 END AS z, sum(CASE WHEN s = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS tops, lag(CASE WHEN q % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY n) AS wide FROM c),
 f AS (SELECT *, CASE WHEN k % 2 = 0 THEN greatest(tops // 6, 1) * 6 ELSE tops END AS faces FROM t),
 x AS (SELECT *, CASE WHEN (n - 1) // 2 >= faces THEN 'surplus' WHEN e > 1 THEN 'range' WHEN s = 1 AND coalesce(wide, 0) = 1 THEN 'gap'
