@@ -57,7 +57,7 @@ def test_html_finds_the_articles(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
-WEIGHTS = {"word": 1.5, "boiler": -4.0, "tags": {}, "tag": -0.1}
+WEIGHTS = html_text.PRIORS
 
 
 @pytest.mark.parametrize(
@@ -86,17 +86,50 @@ NOTICE = "<div class='ad-slot'>" + "<ul><li><a href=/x>buy</a></li></ul>" * 60 +
 
 @pytest.mark.parametrize("parts", [p for odd in (LINKS, PLAIN, NOTICE) for p in ([odd, "a", "b"], ["a", odd, "b"], ["a", "b", odd], [odd, odd, "a", odd])])
 def test_html_keeps_the_whole_article(parts):
-    weights = {"word": 4.0, "boiler": -4.0, "tags": dict.fromkeys("li /li ul /ul ol /ol a /a".split(), -7.0), "tag": -0.1}
+    weights = html_text.weights_from([f"<nav><ul><li><a href=/>Home {i}</a></li><li><a href=/>Away</a></li></ul></nav><div class=ad>Buy</div><article><h1>Title</h1><p>Some text</p></article><footer>Foot</footer>" for i in range(200)])
+    assert weights["tags"]["li"] == -3.0
     shown = {LINKS: ["word"] * 60, PLAIN: ["one", "two"], NOTICE: []}
     page = "<nav><ul><li><a href=/>Home</a></li></ul></nav><p>Before</p><article>" + "".join(p if p in shown else f"<p>Text {p} of it</p>" for p in parts) + "</article><p>After it</p><footer>Foot</footer>"
     assert html_text.extract(page, weights) == "\n".join(x for p in parts for x in shown.get(p, [f"Text {p} of it"]))
 
 
+def made(i, mark="article"):
+    """A page whose class words say the opposite of what lists of such words would."""
+    return f"<div class='social'><p>Follow us at place {i} and then some</p></div><div class='strip zz{i % 3}'>See also this page and that one</div><{mark}><div class='share widget'><h2>Shared {i}</h2><p>What it says, at some length</p></div></{mark}><div class='story'><p>Teaser number {i} of another text</p></div>"
+
+
+def test_html_learns_class_words():
+    """Content in classes that lists take for boilerplate, boilerplate in classes that they don't know."""
+    weights = html_text.weights_from([made(i) for i in range(100)])
+    want = "Shared 7\nWhat it says, at some length"
+    assert html_text.extract(made(7), weights) == want
+    assert html_text.extract(made(7, "div"), weights) == want  # nothing marks the article: learned words and the scan find it
+    assert html_text.extract(made(7, "div"), html_text.PRIORS) != want
+
+
+def test_html_scan_decides_between_regions():
+    """Blocks of equal weight: the longest run that menus don't part wins, not all that are no menu."""
+    weights = {"keys": {"nav": -4.0, "p": 1.0}, "any": 0.0, "tags": {}, "tag": -0.1}
+    page = "<p>two words</p><nav>" + "menu " * 20 + "</nav><p>the longer run of text is here</p><p>and it goes on</p><nav>" + "menu " * 20 + "</nav><p>late words</p>"
+    assert html_text.extract(page, weights) == "the longer run of text is here\nand it goes on"
+
+
+@needs_tables
+def test_html_without_the_mark(spark):
+    """Learned on pages that mark their articles, the weights find those of pages that don't."""
+    pages = table(spark, "pages").collect()
+    weights = html_text.learn(table(spark, "pages"))
+    plain = [(article(p.html), p.html.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages]
+    assert sum(html_text.extract(h, weights) == want for want, h in plain) >= 0.99 * len(plain)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a b</p>", "y"), (None, None, "", "z")], "page_id long, url string, html string, n_chars string")
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.main_text(pages, WEIGHTS).collect()), key=repr)
     assert got == sorted([(1, "u", "", 0), (1, "u", "a b", 3), (None, None, "", 0)], key=repr)
-    assert html_text.main_text(pages.limit(0)).count() == 0
+    assert html_text.main_text(pages.limit(0)).count() == 0 and html_text.learn(pages.limit(0)) == html_text.PRIORS
+    drawing = "<article><p>a <svg><text>b</text></svg><noscript>c</noscript> <math><mi>d</mi></math></p></article>"
+    assert html_text.extract(drawing, WEIGHTS) == "a bc d"
 
 
 @needs_tables
