@@ -17,16 +17,20 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share; only where none is set (tests), a local one."""
+    """Folder that all executors share. Only a session on one machine (tests) may do without and gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: short lineage, computed once, kept if executors go."""
+    """``df`` written to the shared folder and read again: short lineage, computed once, kept if executors go.
+
+    Files stay for as long as results may be read; whoever owns the folder clears it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

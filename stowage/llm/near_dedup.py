@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.hot import HOT, met
 from .common import Words, bitset, has_bits, mix, ngrams, slices, text_column, written
 
 
@@ -78,8 +79,6 @@ def set_key(value: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
 
 #: Classes of one side of a block in which full sets are compared.
 BLOCK = 256
-#: Rows from which a key is hot, unless a thousandth of all rows is more: at most 1000 keys are hot.
-HOT = 256
 #: Bits that name a slot in which shingles are counted to order them by rarity: one byte each, whatever the corpus.
 SLOT_BITS = 24
 #: Classes whose doc_id another class bears as well are numbered from here on; doc_ids lie below.
@@ -140,20 +139,6 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.join(wanted, ["doc_id", "key1"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles").dropDuplicates(["node"])
 
 
-def _hot(counts: DataFrame, key: str, total: int) -> DataFrame:
-    """Keys of ``counts(key, c)`` that bear at least ``HOT`` and a thousandth of ``total`` rows: at most 1000."""
-    return counts.where(F.col("c") >= max(HOT, total // 1000))
-
-
-def _met(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``facts``, which has a row for each key and in ``c`` how many of the ``total`` rows bear it.
-
-    Hot keys, at most 1000, meet their rows by broadcast, so that no task takes all rows of one key."""
-    hot = _hot(facts, key, total)
-    cold = facts.where(F.col("c") < max(HOT, total // 1000))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)).drop("c")
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least node reachable) of every node of an edge: alternating large and small stars.
 
@@ -163,10 +148,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
-        large = _met(both, low, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = met(both, low, ["u"], "c", 2 * total).drop("c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = _met(large, low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = met(large, low, ["u"], "c", 2 * total).drop("c").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -343,7 +328,7 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int
     # first every class against the pivot it shares most bands with; a pivot that many have is dealt to many keys
     tried = member.where("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", -F.col("pivot"))).alias("best")).select("node", (-F.col("best.col2")).alias("pivot"))
     tried = written(tried, "tried")
-    shares = _hot(tried.groupBy("pivot").agg(F.count("*").alias("c")), "pivot", tried.count()).select("pivot", F.ceil(F.col("c") / HOT).cast("int").alias("shares"))
+    shares = tried.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") >= max(HOT, tried.count() // 1000)).select("pivot", F.ceil(F.col("c") / HOT).cast("int").alias("shares"))
     dealt = tried.join(F.broadcast(shares), "pivot", "left").withColumn("share", F.pmod(F.xxhash64("node"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
     pivots = sets.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("shingles").alias("s2")).join(F.broadcast(shares), "pivot", "left")
     pivots = pivots.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
@@ -358,14 +343,14 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int
     open_sets = sets.join(left, "node")
     # classes that share one of their rarest shingles, at least one of them as the smaller set, hang together
     rare = written(rarest(open_sets, percent).join(left, "node"), "rarest")
-    met = rare.groupBy("shingle").agg(F.min(F.when(F.col("small"), F.col("node"))).alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y and hub is not null")
-    hung = _met(rare.select("shingle", "node"), met.select("shingle", "hub", "c"), "shingle", rare.count()).select("node", "hub").where("node <> hub").distinct()
+    shared = rare.groupBy("shingle").agg(F.min(F.when(F.col("small"), F.col("node"))).alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y and hub is not null")
+    hung = met(rare.select("shingle", "node"), shared.select("shingle", "hub", "c"), ["shingle"], "c", rare.count()).select("node", "hub").where("node <> hub").distinct()
     cluster = components(hung, "node", "hub").withColumnRenamed("component", "cluster")
     cluster = written(cluster.join(left, "node"), "clusters")
     # a cluster's main component, by counts of components: one row each, not one a class
     sizes = cluster.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("count").alias("c"))
     main = sizes.where("comps > 1").select("cluster", F.col("m.comp").alias("main_comp"), "c", F.ceil(F.col("m.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("c") - F.col("m.count")) / BLOCK).cast("int").alias("others"))
-    dealt = _blocked(_met(cluster, main, "cluster", cluster.count())).select("cluster", "i", "j", "own", "node", "comp")
+    dealt = _blocked(met(cluster, main, ["cluster"], "c", cluster.count())).select("cluster", "i", "j", "own", "node", "comp")
     second = dealt.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(_linking(percent), "a long, b long")
     return first.union(second)
 

@@ -93,15 +93,17 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, longest: int = 50_000) -> Model:
     """Fitted on at most ``rows`` labelled documents of each label, none over ``longest`` characters.
 
-    These bounds are what reaches the driver, whatever the corpus holds; the rows of least hash are taken. Rows whose
-    crc32(doc_id as text) mod 5 is 0 are never used. With under 4 rows of a label, the score is the share of label 1."""
+    These bounds are what reaches the driver, whatever the corpus holds; the rows of least hash are taken, and of texts
+    that share a doc_id the one of least hash. Rows whose crc32(doc_id as text) mod 5 is 0 are never used. With under 4
+    rows of a label, the score is the share of label 1."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
     chosen = None
     for q in (0, 1):
         part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.union(part)
-    found = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # broadcast: 2 * rows ids
-    found = sorted({(r.doc_id, r.text, r.quality) for r in found})
+    found = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # broadcast: 2 * rows ids
+    one = found.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))  # a row for each id
+    found = sorted((r.doc_id, r.text, r.quality) for r in one.select("doc_id", "t.text", "quality").collect())
     by = {q: [t for _, t, x in found if x == q] for q in (0, 1)}
     if min(map(len, by.values())) < 4:
         share = (len(by[1]) + 1) / (len(found) + 2)

@@ -64,6 +64,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+_REGISTRY_SQL = ", ".join(f"'{x}'" for x in url_filter.REGISTRY)
 OP8_SQL = rf"""
 WITH parts AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
@@ -75,8 +76,11 @@ fit AS (
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
 known AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 hosts AS (
-  SELECT host, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS n, string_split(host, '.')[-1] AS suffix,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain
+  SELECT host, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS n, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare,
+         regexp_matches(bare, '^[0-9]+(\.[0-9]+){{3}}$') OR starts_with(bare, '[') AS address, string_split(bare, '.') AS labels,
+         CASE WHEN len(labels) > 1 AND length(labels[-1]) = 2 AND labels[-2] IN ({_REGISTRY_SQL}) THEN 2 ELSE 1 END AS k,
+         CASE WHEN address THEN bare ELSE array_to_string(labels[-k:], '.') END AS suffix,
+         CASE WHEN address THEN bare ELSE array_to_string(labels[-(k + 1):], '.') END AS domain
   FROM parts LEFT JOIN known USING (page_id) GROUP BY host),
 domains AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM domains GROUP BY ALL),

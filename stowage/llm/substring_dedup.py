@@ -125,7 +125,7 @@ def repeated_places(docs: DataFrame, buckets: int, window: int = WINDOW, seed: i
             sent, marked = order[~later], order[later]  # of equal edges here, the smallest document's travel
             yield pa.RecordBatch.from_arrays(_dealt(_bucket(key[sent], buckets), [key[sent], check[sent], place[sent]], doc[sent], row[sent]), names)
             if len(marked):
-                cols = _dealt(_bucket(doc[marked], buckets), [place[marked]], doc[marked], row[marked])
+                cols = _dealt(_bucket(row[marked], buckets), [place[marked]], doc[marked], row[marked])
                 n = len(cols[0])
                 yield pa.RecordBatch.from_arrays([cols[0], _empty_lists(n, pa.int64()), _empty_lists(n, pa.int32()), *cols[1:]], names)
 
@@ -136,7 +136,7 @@ def repeated_places(docs: DataFrame, buckets: int, window: int = WINDOW, seed: i
         doc, row, place = np.repeat(_flat(table, "doc"), run), np.repeat(_flat(table, "row"), run), _flat(table, "place")
         order, later = _later(_flat(table, "key"), _flat(table, "check"), doc[is_edge])
         keep = np.concatenate((np.flatnonzero(is_edge)[order[later]], np.flatnonzero(~is_edge)))
-        return pa.table(_dealt(_bucket(doc[keep], buckets), [place[keep]], doc[keep], row[keep]), ["bucket", "place", "doc", "row", "run"])
+        return pa.table(_dealt(_bucket(row[keep], buckets), [place[keep]], doc[keep], row[keep]), ["bucket", "place", "doc", "row", "run"])
 
     edges = docs.select("doc_id", "row", "text").mapInArrow(ship, _EDGES)
     return edges.groupBy("bucket").applyInArrow(meet, _MARKS)
@@ -187,7 +187,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, full: bool =
         for batch in batches:
             ids = batch.column(0)
             packed = pa.array([pack(t) for t in text_column(batch).cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, packed, batch.column(2), pa.array(_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), buckets), pa.int32())], ["doc_id", "packed", "row", "bucket"])
+            yield pa.RecordBatch.from_arrays([ids, packed, batch.column(2), pa.array(_bucket(batch.column(2).to_numpy(), buckets), pa.int32())], ["doc_id", "packed", "row", "bucket"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         by: dict = {}
@@ -202,5 +202,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, full: bool =
             by = {(d, r): p for d, r, p in zip(doc[first].tolist(), row[first].tolist(), np.split(place, first[1:]), strict=True)}
         return _strip(left.column("doc_id").to_pylist(), left.column("row").to_pylist(), left.column("packed").to_pylist(), by, window, full)
 
-    numbered = docs.mapInArrow(number, "doc_id long, packed binary, row long, bucket int")
-    return numbered.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(finish, RESULT + (", kept string" if full else ""))
+    def whole(batches):  # rows without doc_id meet nothing: they stay where they are
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = [pack(t) for t in text_column(batch).cast(pa.binary()).to_pylist()]
+            yield from _strip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), packed, {}, window, full).to_batches()
+
+    schema = RESULT + (", kept string" if full else "")
+    numbered = known.mapInArrow(number, "doc_id long, packed binary, row long, bucket int")
+    out = numbered.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(finish, schema)
+    return out.unionByName(docs.where("doc_id is null").mapInArrow(whole, schema))

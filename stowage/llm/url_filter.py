@@ -11,10 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.hot import met
+from .common import written
+
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Second labels under which countries register domains: ``x.co.uk`` is one (names that registries use). A host's
+#: suffix is its last label, with such a label before it where the last has two letters.
+REGISTRY = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 #: Bounds of the fitted prior strength, in pages.
 STRENGTH = (1.0, 1000.0)
 
@@ -28,6 +34,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def levels(host: Column, registry=REGISTRY) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user and port. An address is its own domain and suffix."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    labels = F.split(bare, r"\.")
+    n = F.size(labels)
+    second = F.when((n > 1) & (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*registry), 2).otherwise(1)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$") | bare.startswith("[")
+    return F.when(address, bare).otherwise(last(second + 1)), F.when(address, bare).otherwise(last(second))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits, else nulls. Of equally long rules the one listed first counts."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -51,12 +68,13 @@ def strength(groups: DataFrame) -> tuple[float, float]:
 
 
 def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """``outcomes(host, good)`` for labelled pages and null ``good`` for others -> one row per host with its posterior.
+    """``outcomes(host, good)`` for labelled pages and null ``good`` for others -> one row per host with its posterior
+    and its number of rows.
 
-    Groups are pre-aggregated to one row a host before any level joins another."""
-    hosts = outcomes.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"), F.count("good").cast("double").alias("n"))
-    labels = F.split("host", r"\.")
-    hosts = hosts.select("host", "good", "n", F.element_at(labels, -1).alias("suffix"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"))
+    Groups are pre-aggregated to one row a host, which is written once, before any level joins another."""
+    hosts = outcomes.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"), F.count("good").cast("double").alias("n"), F.count("*").alias("pages"))
+    domain, suffix = levels(F.col("host"))
+    hosts = written(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("good").alias("d_good"), F.sum("n").alias("d_n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("d_good").alias("s_good"), F.sum("d_n").alias("s_n"))
     mean, k_suffix = strength(suffixes.select(F.col("s_good").alias("good"), F.col("s_n").alias("n")))
@@ -67,9 +85,9 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     a = F.col("good") + k_host * F.col("d_mean")
     b = F.col("n") - F.col("good") + k_host * (1 - F.col("d_mean"))
     total = F.col("a") + F.col("b")
-    posterior = hosts.join(domains, "domain").select("host", "good", "n", a.alias("a"), b.alias("b"))
+    posterior = hosts.join(domains, "domain").select("host", "pages", "good", "n", a.alias("a"), b.alias("b"))
     spread = z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    return posterior.select("host", "good", "n", (F.col("a") / total).alias("mean"), (F.col("a") / total - spread).alias("lower"), (F.col("a") / total + spread).alias("upper"))
+    return posterior.select("host", "pages", "good", "n", (F.col("a") / total).alias("mean"), (F.col("a") / total - spread).alias("lower"), (F.col("a") / total + spread).alias("upper"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, least_good: float = 0.5) -> DataFrame:
@@ -81,6 +99,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, least_good: float =
     known = labels.where("good is not null and page_id is not null").groupBy("page_id").agg(F.min("good").alias("good"))
     rated = reputations(parts.select("page_id", "host").join(known, "page_id", "left").select("host", "good"))
     rule, fixed = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parts.join(rated.select("host", F.col("mean").alias("reputation"), "upper"), "host", "left")
+    rated = written(rated, "rated")
+    total = rated.agg(F.sum("pages")).first()[0] or 0
+    judged = met(parts, rated.select("host", F.col("mean").alias("reputation"), "upper", "pages"), ["host"], "pages", total)  # every host is rated
     verdict = F.coalesce(fixed, F.when(F.col("upper") < least_good, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "reputation")
