@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.paths import escaped
 from .operators import catalog, validation
-from .session import local_session, ship
+from .session import local_session, ship, written
 from .sources import archives, dds, extract, writers
 
 
@@ -91,21 +91,23 @@ def unpack(spark, a) -> int:
     if archives.archives(rows).first().error:
         return 1
     e = archives.entries(rows)
-    missing = 0
+    key = archives.paths.canonical(F.col("path"))
     if a.path:
         asked = spark.createDataFrame(list(enumerate(a.path)), "ord long, path string")
-        results = catalog.bulk(asked, e.select("path", "raw_size"))
-        bad = results.where("failure is not null").select("path", "failure").collect()
-        missing = len(bad)
-        _show(bad)
-        e = e.join(results.where("failure is null").select(archives.paths.canonical(F.col("path")).alias("path")).distinct(), "path", "left_semi")
+        results = written(catalog.bulk(asked, e.select("path", "raw_size")).select("ord", "path", "failure"), "requests")
+        e = e.join(results.where("failure is null").select(key.alias("path")).distinct(), "path", "left_semi")
     if a.workers:
         e = e.repartition(a.workers)
-    done = extract.publish(extract.payloads(e), a.output, a.overwrite).collect()
-    failed = [r for r in done if r.failure]
-    _show(failed)
-    print(f"{len(done) - len(failed)} extracted, {len(failed) + missing} failed")
-    return int(bool(failed) or missing > 0)
+    done = written(extract.publish(extract.payloads(e), a.output, a.overwrite), "published")
+    if a.path:  # a result for each request, in the order of the requests; a path asked for twice is written once
+        own = done.select(F.col("path").alias("_key"), F.col("failure").alias("_own"))
+        done = results.withColumn("_key", key).join(own, "_key", "left").select("ord", "path", F.coalesce("failure", "_own").alias("failure")).orderBy("ord")
+    else:
+        done = done.orderBy("path")
+    total = done.agg(F.count("*").alias("n"), F.count_if(F.col("failure").isNotNull()).alias("failed")).first()
+    _show(done.where("failure is not null").select(escaped(F.col("path")), "failure").toLocalIterator())
+    print(f"{total.n - total.failed} extracted, {total.failed} failed")
+    return int(total.failed > 0)
 
 
 def pack(spark, a) -> int:
@@ -114,12 +116,14 @@ def pack(spark, a) -> int:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^file:/+", "/")
     e = files.select(F.lit(name).alias("archive_id"), F.substring(rel, len(root) + 2, 1 << 20).alias("path"), F.col("content").alias("payload"))
-    found = writers.problems(e, a.format, a.embed_names).collect()
+    if a.workers:
+        e = e.repartition(a.workers)
+    found = writers.problems(e, a.format, a.embed_names, spark.createDataFrame([(name,)], "archive_id string")).collect()
     family, version, _ = writers.TARGETS[a.format]
     if family == "dx10" and not found:
         textures = e.withColumnRenamed("payload", "content")
         found = dds.rejected(textures, newest=version > 1).collect()
-    if found or not e.take(1):
+    if found:
         _show(found)
         return 1
     source = dds.chunks(textures) if family == "dx10" else e

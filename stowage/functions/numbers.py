@@ -16,6 +16,16 @@ def span_end(start: Column, length: Column) -> Column:
     return F.coalesce(F.try_add(start, length), F.lit(9223372036854775807))
 
 
+def checked_add(a: Column, b: Column) -> Column:
+    """Null where the sum of two non-negative numbers overflows a long."""
+    return F.try_add(a.cast("long"), b.cast("long"))
+
+
+def checked_multiply(a: Column, b: Column) -> Column:
+    """Null where the product of two non-negative numbers overflows a long."""
+    return F.try_multiply(a.cast("long"), b.cast("long"))
+
+
 def spans_overlap(a: Column, a_len: Column, b: Column, b_len: Column) -> Column:
     """Empty spans overlap nothing."""
     return (a_len > 0) & (b_len > 0) & (a < span_end(b, b_len)) & (b < span_end(a, a_len))

@@ -86,8 +86,8 @@ def escaped(text: Column) -> Column:
 
 
 def diagnostic(text: Column) -> Column:
-    """A message without the path it names, to compare those of different runs."""
-    return F.trim(F.regexp_replace(text, r"['\"]?(?:[A-Za-z]:[\\/]|/)[^'\":]*['\"]?", "<path>"))
+    """A command's message without the context in parentheses before its error code, to compare those of two runs."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^error \(.*?\): (?=[a-z_]+: )", "error: "))
 
 
 def host_path_error(raw: Column) -> Column:

@@ -335,6 +335,30 @@ def read_archives_from_store(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, SCHEMA)
 
 
+#: What a family, version and compression method mean: codec of compressed payloads, bytes of the header, of a record and
+#: of a folder record, whether names may stand before payloads, whether writers compress unless told otherwise (fixed
+#: values of the formats).
+PROFILES = (
+    ("tes3", 256, None, "none", 12, 8, None, False, False), ("tes4", 103, None, "zlib", 36, 16, 16, False, False), ("tes4", 104, None, "zlib", 36, 16, 16, True, True), ("tes4", 105, None, "lz4_frame", 36, 16, 24, True, True),
+    ("gnrl", 1, None, "zlib", 24, 36, None, False, True), ("gnrl", 7, None, "zlib", 24, 36, None, False, True), ("gnrl", 8, None, "zlib", 24, 36, None, False, True), ("gnrl", 2, None, "zlib", 32, 36, None, False, True),
+    ("gnrl", 3, 0, "zlib", 36, 36, None, False, True), ("gnrl", 3, 3, "lz4_block", 36, 36, None, False, True),
+    ("dx10", 1, None, "zlib", 24, 24, None, False, True), ("dx10", 7, None, "zlib", 24, 24, None, False, True), ("dx10", 8, None, "zlib", 24, 24, None, False, True), ("dx10", 2, None, "zlib", 32, 24, None, False, True),
+    ("dx10", 3, 0, "zlib", 36, 24, None, False, True), ("dx10", 3, 3, "lz4_block", 36, 24, None, False, True),
+)
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    """Dimension table of PROFILES: a fixed number of rows."""
+    return spark.createDataFrame(list(PROFILES), "variant string, version long, compression_method long, profile_codec string, header_bytes int, record_bytes int, folder_record_bytes int, embeds_names boolean, packs_by_default boolean")
+
+
+def with_profile(a: DataFrame) -> DataFrame:
+    """Archives with the facts of their profile; what no profile matches is ``unsupported`` unless it failed before."""
+    p = profiles(a.sparkSession).withColumnsRenamed({"variant": "_v", "version": "_n", "compression_method": "_m"})
+    found = a.join(F.broadcast(p), (a["variant"] == F.col("_v")) & (a["version"] == F.col("_n")) & a["compression_method"].eqNullSafe(F.col("_m")), "left")
+    return found.withColumn("error", F.coalesce("error", F.when(F.col("_v").isNull(), "unsupported"))).drop("_v", "_n", "_m")
+
+
 def archives(rows: DataFrame) -> DataFrame:
     keep = ["archive_id", "family", "variant", "version", "archive_flags", "file_count", "default_compression", "starfield_unknown1", "starfield_unknown2", "compression_method", "size_bytes", "trailing_names", "folder_names_mismatch", "error", "error_rule"]
     return rows.where("kind = 'archive'").select(*keep)

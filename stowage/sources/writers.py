@@ -54,8 +54,9 @@ def packs_by_default(target: str, policy: str = "default") -> bool:
     return codec != "none" and (policy == "compressed" or policy == "default" and not (family == "tes4" and version == 103))
 
 
-def problems(entries: DataFrame, target: str | None = None, embed: bool = False) -> DataFrame:
-    """archive_id, code, rule: what makes an archive's entries unfit to write.
+def problems(entries: DataFrame, target: str | None = None, embed: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+    """archive_id, code, rule: what makes an archive's entries unfit to write; an archive of ``wanted(archive_id)`` that
+    has none is unfit too.
 
     Record tables take names of 255 bytes at most, and of textures whose header can be read only the formats that
     games of that version draw."""
@@ -64,6 +65,8 @@ def problems(entries: DataFrame, target: str | None = None, embed: bool = False)
     found = said(e.where("_c is null"), "invalid_argument", "invalid_path")
     found = found.unionByName(said(duplicates(e.where("_c is not null"), "archive_id", "_c"), "invalid_argument", "duplicate_path"))
     found = found.unionByName(said(e.where(F.octet_length("payload") >= 1 << 30), "invalid_argument", "too_large"))
+    if wanted is not None:
+        found = found.unionByName(said(wanted.join(e.select("archive_id").distinct(), "archive_id", "left_anti"), "invalid_argument", "empty"))
     if target and TARGETS[target][0] == "tes4":
         version = TARGETS[target][1]
         whole = F.octet_length("_c") + F.when(paths.folder_of(F.col("_c")) == "", 2).otherwise(0)

@@ -1,5 +1,6 @@
 """Writers, readers, checks and extraction: round trips and damaged files."""
 
+import hashlib
 import os
 import random
 import struct
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from stowage.functions import codecs
 from stowage.operators.validation import first_error
-from stowage.sources import archives, extract, writers
+from stowage.sources import archives, extract, measurements, writers
+from structure import inspect
 
 
 def sample():
@@ -33,8 +35,10 @@ def test_round_trip(spark, tmp_path, target, compress):
     suffix = ".ba2" if writers.TARGETS[target][0] == "gnrl" else ".bsa"
     done = writers.write(writers.segments(frame(spark, files, compress=compress), target), str(tmp_path), suffix).collect()
     assert [(r.failure, r.bytes) for r in done] == [(None, os.path.getsize(tmp_path / f"one{suffix}"))]
+    inspect(tmp_path / f"one{suffix}")
     rows = archives.read_archives(spark, archives.archive_files(str(tmp_path)))
-    a = archives.archives(rows).first()
+    a = archives.with_profile(archives.archives(rows)).first()
+    assert a.profile_codec == writers.TARGETS[target][2] and a.header_bytes
     assert (a.error, a.file_count, a.version) == (None, len(files), writers.TARGETS[target][1])
     assert archives.checked(rows).count() == 0
     e = archives.entries(rows)
@@ -56,6 +60,8 @@ def test_textures(spark, tmp_path):
     c = spark.createDataFrame(rows, "archive_id string, path string, nth int, start_mip int, end_mip int, payload binary, width int, height int, mip_count int, dxgi_format int, is_cubemap boolean")
     for target in ("ba2-dx10-fo4", "ba2-dx10-sf-v3"):
         writers.write(writers.segments(c, target), str(tmp_path), f"-{target}.ba2").collect()
+    made = [inspect(tmp_path / f"tex-{t}.ba2") for t in ("ba2-dx10-fo4", "ba2-dx10-sf-v3")]
+    assert made[0][b"t/cube.dds"] == {"cube": True, "mips": 1} and made[0] == made[1]
     read = archives.read_archives(spark, archives.archive_files(str(tmp_path)))
     assert archives.checked(read).count() == 0
     e = archives.entries(read)
@@ -284,8 +290,7 @@ def test_archive_flags_and_policies(spark, tmp_path, target, policy, embed, flag
     rows = [("one", p, bytearray(b), says.get(p)) for p, b in files.items()]
     e = spark.createDataFrame(rows, "archive_id string, path string, payload binary, compress boolean")
     writers.write(writers.segments(e, target, policy=policy, embed=embed), str(tmp_path), ".bsa").collect()
-    data = (tmp_path / "one.bsa").read_bytes()
-    assert struct.unpack_from("<I", data, 12)[0] == flags
+    assert inspect(tmp_path / "one.bsa")["flags"] == flags
     read = archives.read_archives(spark, [str(tmp_path / "one.bsa")])
     assert archives.checked(read).count() == 0
     packs = bool(flags & 4)
@@ -325,3 +330,26 @@ def test_unfit_for_record_tables(spark):
     assert said("bsa-fo3") == {("a", "format_error", "texture_format"), ("c", "format_error", "name_too_long")}
     assert said("bsa-sse", True) == {("c", "format_error", "name_too_long"), ("d", "format_error", "name_too_long")}
     assert said("ba2-gnrl-fo4") == set()
+    wanted = spark.createDataFrame([("a",), ("z",)], "archive_id string")
+    assert {tuple(r) for r in writers.problems(e, wanted=wanted).collect()} == {("z", "invalid_argument", "empty")}
+
+
+def test_evidence(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    writers.write(writers.segments(frame(spark, {"a.txt": b"a"}), "ba2-gnrl-sf-v3"), str(tmp_path / "sub"), ".ba2").collect()
+    (tmp_path / "junk.bsa").write_bytes(b"junk")
+    got = {r.path: r for r in measurements.inventory(spark, str(tmp_path)).collect()}
+    body = (tmp_path / "sub/one.ba2").read_bytes()
+    assert (got["sub/one.ba2"].sha256, got["sub/one.ba2"].size, got["sub/one.ba2"].compression_method, got["sub/one.ba2"].entry_count) == (hashlib.sha256(body).hexdigest(), len(body), 3, 1)
+    assert got["junk.bsa"].error == "unsupported" and len(got) == 2
+    (tmp_path / "runs.csv").write_text("archive,elapsed_ms,diagnostic,label\nx,1.5,error (C:/a (b)): format_error: bad,before\nx,oops,,before\ny,2,fine,after\n")
+    runs = measurements.read_runs(spark, str(tmp_path / "runs.csv"))
+    assert sorted((r.archive, r.elapsed_ms, r.diagnostic) for r in runs.collect() if r.elapsed_ms) == [("x", 1.5, "error: format_error: bad"), ("y", 2.0, "fine")]
+    assert [r.archive for r in measurements.repeated_archives(runs).collect()] == ["x"]
+    pixels = bytes(range(64))
+    head = lambda flags, pitch: struct.pack("<4s7I", b"DDS ", 124, flags, 4, 4, pitch, 0, 1) + bytes(52) + b"DX10" + bytes(40) + struct.pack("<5I", 28, 3, 0, 1, 0)
+    files = [("a", head(0x2100F, 0) + pixels), ("b", head(0x81007, 64) + pixels), ("c", head(0x2100F, 0) + pixels[::-1]), ("d", b"text"), ("e", None)]
+    seen = {r.path: r for r in measurements.fingerprints(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert seen["a"].identity == seen["b"].identity != seen["c"].identity and seen["a"].sha256 != seen["b"].sha256
+    assert len(seen["a"].dds_header_hex) == 296 and seen["a"].payload_sha256_148 == hashlib.sha256(pixels).hexdigest()
+    assert seen["d"].dds_header_hex is None and seen["d"].identity == hashlib.sha256(b"text").hexdigest()

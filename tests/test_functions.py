@@ -62,3 +62,17 @@ def test_numbers(spark):
     assert one(spark, numbers.span_fits(F.lit(top), F.lit(1), F.lit(top))) is False
     assert one(spark, numbers.spans_overlap(F.lit(top - 1), F.lit(5), F.lit(top - 3), F.lit(3))) is True
     assert one(spark, numbers.spans_overlap(F.lit(1), F.lit(0), F.lit(0), F.lit(9))) is False
+
+
+def test_escapes_and_messages(spark):
+    rows = [("a\\b\t\n\r\x01\x7f é",), ("error (C:\\x (1)): format_error: bad",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(paths.escaped(F.col("t")), paths.diagnostic(F.col("t"))).collect()
+    assert got[0][0] == "a\\b\\t\\n\\r\\x01\\x7F é" and got[1][1] == "error: format_error: bad" and got[2][1] == ""
+    raw = spark.createDataFrame([(b"a/\xc3\xa9",), (b"a\xe9",), (b"a\0",), (None,)], "r binary").select(paths.host_path_error(F.col("r")))
+    assert [r[0] for r in raw.collect()] == [None, *["invalid_argument"] * 3]
+
+
+def test_checked_arithmetic(spark):
+    big = F.lit((1 << 62) + 1)
+    got = spark.range(1).select(numbers.checked_add(big, big), numbers.checked_multiply(big, F.lit(2)), numbers.checked_multiply(F.lit(6), F.lit(7))).first()
+    assert tuple(got) == (None, None, 42)
