@@ -70,6 +70,37 @@ def test_substring_dedup(spark, corpus):
     assert got == brute_dedup(corpus)
 
 
+def test_substring_dedup_spans(spark):
+    """Chains compact what several documents share; their spans are runs of words that a smaller document has."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(600)]
+    rows = [(i, " ".join([word() for _ in range(40 + i)] + passage[i * 20 :] + [word() for _ in range(30)])) for i in range(8)]
+    circle = " ".join(f"c{i % 70}" for i in range(400))
+    rows += [(20, circle), (21, "x " + circle + " y"), (30, " ".join(passage[:300] + [word()] + passage[301:]))]
+    docs = frame(spark, rows)
+    assert sorted(map(tuple, substring_dedup.dedup(docs).collect()), key=repr) == brute_dedup(rows)
+    known = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    paths = substring_dedup.written(substring_dedup.graph(known), "paths")
+    shared = paths.where("key is not null")
+    bits = spark.sparkContext.broadcast(substring_dedup.bitset(paths.select("mark"), "mark"))
+    texts = dict(rows)
+    found = substring_dedup.spans(known, shared, bits).collect()
+    longest = max(r.stop - r.start for r in found if r.doc_id == 1)
+    assert longest > 400 and shared.count() > 20 and len({r.chain for r in found}) < shared.count()
+    for r in found:
+        assert r.source < r.doc_id and " ".join(texts[r.doc_id].split()[r.start : r.stop]) in " ".join(texts[r.source].split())
+
+
+def test_chains(spark):
+    line = [(i, 100 + i, 101 + i) for i in range(40)]
+    branch = [(50, 200, 201), (51, 201, 202), (52, 201, 203), (53, 203, 204)]
+    circle = [(60, 300, 301), (61, 301, 302), (62, 302, 300)]
+    paths = spark.createDataFrame(line + branch + circle, "key long, head long, tail long")
+    got = {r.key: r.chain for r in substring_dedup.chains(paths).collect()}
+    assert all(got[i] == 39 for i in range(40)) and (got[50], got[51], got[52], got[53]) == (50, 51, 53, 53) and len(got) == 47
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup.dedup(frame(spark, [])).count() == 0
 
