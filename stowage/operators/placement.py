@@ -61,6 +61,9 @@ def place(entries: DataFrame, archive: str, ord_: str, payload: str, facts: tupl
     return out.select(*taken, "size", "rep", "offset", "shared")
 
 
+#: Entries that share length and hash with others whose keys are broadcast to pick their payloads; beyond, a bit set of
+#: fixed size picks them.
+FEW = 200_000
 #: Parts into which the copies of a payload are dealt when they look up where it is stored.
 PARTS = 64
 
@@ -70,10 +73,13 @@ def _reps(keyed: DataFrame, slim: DataFrame, key: list[str]) -> DataFrame:
     groups = slim.groupBy(*key).agg(F.min("_o").alias("rep"), F.count("*").alias("_n"))
     several = groups.where("_n > 1")
     seen = hot.met(slim, several, key, "_n", slim.count())
-    sure = slim.join(groups.where("_n = 1").select(*key), key, "left_semi").select("_a", "_o", "size", F.col("_o").alias("rep"))
+    sure = groups.where("_n = 1").select("_a", F.col("rep").alias("_o"), "size", "rep")
     empty = seen.where("size = 0").select("_a", "_o", "size", "rep")
     twins = written(seen.where("size > 0"), "twins")
-    bodies = keyed.where(hot.membership(twins, "_hash")(F.col("_hash"))).select("_a", "_o", "_p").join(twins, ["_a", "_o"])
+    if twins.count() <= FEW:
+        bodies = keyed.select("_a", "_o", "_p").join(F.broadcast(twins), ["_a", "_o"])
+    else:
+        bodies = keyed.where(hot.membership(twins, "_hash")(F.col("_hash"))).select("_a", "_o", "_p").join(twins, ["_a", "_o"])
     bodies = bodies.withColumn("_parts", F.ceil(F.col("_n") / TOGETHER).cast("int"))
     first = bodies.where("_o = rep").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("_a", "rep", *key[3:], "_part", F.col("_p").alias("_q"))
     met = bodies.withColumn("_part", F.pmod(F.xxhash64("_o"), F.col("_parts")).cast("int")).join(first, ["_a", "rep", *key[3:], "_part"])

@@ -15,6 +15,30 @@ def test_place_shares_equal_bytes(spark):
     assert rows(alone.where("archive = 'a'").select("ord", "offset", "shared")) == [(0, 0, False), (1, 2, False), (2, 2, False), (3, 4, False), (4, 7, False)]
 
 
+def test_place_many_and_hot(spark, monkeypatch):
+    """A payload that most entries have, payloads of two entries, and single ones; keys broadcast or picked by bits."""
+    rows = [("a", i, b"hot" if i % 3 else b"%d" % (i // 6)) for i in range(3000)] + [("b", 0, b"hot"), (None, 1, b"x"), ("b", None, b"y")]
+    e = spark.createDataFrame(rows, "archive string, ord long, payload binary")
+    want, at, seen = [], 0, {}
+    for a, o, p in rows[:3000]:
+        first = seen.setdefault(p, (o, at))
+        want.append((a, o, len(p), first[0], first[1]))
+        at += len(p) if first[0] == o else 0
+    for few in (placement.FEW, 0):
+        monkeypatch.setattr(placement, "FEW", few)
+        got = placement.place(e, "archive", "ord", "payload").select("archive", "ord", "size", "rep", "offset")
+        assert rows_of(got) == sorted([*want, ("b", 0, 3, 0, 0)], key=repr)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_clashes(spark):
+    s = spark.createDataFrame([("x", 0, 5, 7), ("x", 4, 4, 2), ("x", 4, 4, 9), ("x", 20, 0, 1), ("y", 0, 300_000, 5), ("y", 200_000, 1, 3), ("y", 250_000, 1, 8), ("z", 0, 5, 0), ("z", 0, 5, 1), ("z", 5, 5, 2)], "a string, at long, n long, i long")
+    assert rows_of(spans.clashes(s, "a", "at", "n", "i")) == [("x", 7), ("y", 5), ("y", 8)]
+
+
 def test_place_by_facts(spark):
     e = spark.createDataFrame([("a", 0, "x", "p"), ("a", 1, "x", "q"), ("a", 2, "x", "p")], "archive string, ord long, payload string, fact string")
     assert rows(placement.place(e, "archive", "ord", "payload", ("fact",)).select("ord", "rep", "offset")) == [(0, 0, 0), (1, 1, 1), (2, 0, 0)]
