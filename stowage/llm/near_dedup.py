@@ -78,9 +78,11 @@ def set_key(value: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
 
 
 #: Classes of one side of a block in which full sets are compared.
-BLOCK = 256
-#: Bits that name a slot in which shingles are counted to order them by rarity: one byte each, whatever the corpus.
+BLOCK = 128
+#: Most bits that name a slot in which shingles are counted to order them by rarity: one byte each, whatever the corpus.
 SLOT_BITS = 24
+#: Shingles that a task sorts at once.
+TOGETHER = 1 << 18
 #: Classes whose doc_id another class bears as well are numbered from here on; doc_ids lie below.
 SURROGATE = 1 << 62
 
@@ -134,6 +136,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 value, offsets = shingles(texts[a:b], k)
                 key = set_key(value, offsets, SALTS[0])
                 yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(key), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))], ["doc_id", "key1", "shingles"])
+            pa.default_memory_pool().release_unused()
 
     found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key1 long, shingles array<long>")
     return found.join(wanted, ["doc_id", "key1"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles").dropDuplicates(["node"])
@@ -228,21 +231,37 @@ def _linking(percent: int):
         x, y = np.nonzero(close)
         root = _forest(len(node), left[x], right[y])
         some = np.flatnonzero(root != np.arange(len(node)))
+        pa.default_memory_pool().release_unused()
         return pa.table({"a": node[some], "b": node[root[some]]})
 
     return run
 
 
+def _in_parts(batch: pa.RecordBatch, column: int):
+    """Slices of a batch whose lists hold about ``TOGETHER`` values; a longer list is alone."""
+    n = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(n, (n[start - 1] if start else 0) + TOGETHER, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+    pa.default_memory_pool().release_unused()
+
+
 def slot_sizes(sets: DataFrame) -> np.ndarray:
-    """How often shingles of ``sets`` fall into each of ``2**SLOT_BITS`` slots, as a byte that grows with the logarithm.
+    """How often shingles of ``sets(n, shingles)`` fall into each of a power of two slots, at most ``2**SLOT_BITS`` and
+    about two a shingle, as a byte that grows with the logarithm.
 
     Counts are summed in Spark; one byte a slot reaches the driver, whatever the number of shingles."""
-    sections, width = 64, 1 << SLOT_BITS - 6
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(int(total).bit_length() + 1, 16), SLOT_BITS)
+    sections, width = 64, 1 << bits - 6
 
     def count(batches):
         for batch in batches:
-            slot, times = np.unique(batch.column(0).flatten().to_numpy() & np.int64((1 << SLOT_BITS) - 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(times, pa.int64())], ["slot", "c"])
+            for part in _in_parts(batch, 0):
+                slot, times = np.unique(part.column(0).flatten().to_numpy() & np.int64((1 << bits) - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(times, pa.int64())], ["slot", "c"])
 
     def pack(key, table):
         part = np.zeros(width, np.uint8)
@@ -252,7 +271,7 @@ def slot_sizes(sets: DataFrame) -> np.ndarray:
 
     counts = sets.select("shingles").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c"))
     parts = counts.withColumn("section", F.floor(F.col("slot") / width).cast("int")).groupBy("section").applyInArrow(pack, "section int, part binary").collect()
-    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    out = np.zeros(sections * width, np.uint8)
     for p in parts:
         out[p.section * width : (p.section + 1) * width] = np.frombuffer(p.part, np.uint8)
     return out
@@ -268,12 +287,12 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         have = np.frombuffer(sizes.value, np.uint8)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _in_parts(whole, 1)):
             node, lists = batch.column(0).to_numpy(), batch.column(1)
             value = lists.flatten().to_numpy()
             n = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
             own = np.repeat(np.arange(len(n)), n)
-            common = have[value & np.int64((1 << SLOT_BITS) - 1)]
+            common = have[value & np.int64(len(have) - 1)]
             order = np.lexsort((value, common, own))
             place = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
             least = lambda top, bottom: (n - -(-top * n // bottom) + 1)[own]

@@ -179,7 +179,7 @@ def test_rarest_shingles_meet(spark):
     for i in range(120):
         base = set(range(i % 6 * 50, i % 6 * 50 + rng.randint(36, 50)))
         sets[i] = (base - set(rng.sample(sorted(base), len(base) // 12))) | {rng.randrange(400, 900) for _ in range(rng.randint(0, 3))}
-    df = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "node long, shingles array<long>")
+    df = spark.createDataFrame([(i, sorted(x), len(x)) for i, x in sets.items()], "node long, shingles array<long>, n long")
     got = defaultdict(set)
     for r in near_dedup.rarest(df, 80).collect():
         got[r.node].add((r.shingle, r.small))
