@@ -142,24 +142,26 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.join(wanted, ["doc_id", "key1"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles").dropDuplicates(["node"])
 
 
+def _flat(e: DataFrame) -> bool:
+    """Whether edges (u, v), v the lesser, are stars: every u has one v, and no v is a u. Then all is decided."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below + above > 1").take(1)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least node reachable) of every node of an edge: alternating large and small stars.
 
     Neighbourhoods are only ever reduced to their least node, never collected."""
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before, total = None, e.count()
-    while True:
+    while not _flat(e):
+        total = 2 * e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
-        large = met(both, low, ["u"], "c", 2 * total).drop("c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = met(both, low, ["u"], "c", total).drop("c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = met(large, low, ["u"], "c", 2 * total).drop("c").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = met(large, low, ["u"], "c", total).drop("c").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before, total = state, state[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
