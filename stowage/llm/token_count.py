@@ -1,11 +1,14 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The splitting pattern of a byte-level BPE tokenizer is compiled to a deterministic transducer over character classes:
-each transition says whether a word ends before the current or the previous character. Texts are cut into chunks.
-Inside a task, small blocks of characters become state maps, which a parallel prefix scan composes, so that every
-block knows the state it starts in. For a chunk that does not start its text that state is unknown, so it gives one
-entry per possible state: where it ends, the tokens of the words that lie inside it, and its open ends. Entries of a
-text's chunks compose in order. Words get their token counts from the merge table, each once per worker.
+Two deterministic transducers run one after the other. The splitting pattern of a byte-level BPE tokenizer is compiled
+over character classes: each transition says whether a word ends before the current or the previous character. Inside a
+word, a second one reads bytes: each transition is annotated with the tokens it adds to the count (fewer than none where
+a longer token takes the place of several), see ``Counter``.
+
+Texts are cut into chunks. Inside a task, small blocks of characters become state maps, which a parallel prefix scan
+composes, so that every block knows the state it starts in. For a chunk that does not start its text that state is
+unknown, so it gives one entry per possible state: where it ends, the tokens of the words that lie inside it, and its
+open ends. Entries of a text's chunks compose in order.
 """
 
 from __future__ import annotations
@@ -120,25 +123,165 @@ def word_starts(text: str, first: np.ndarray, state: np.ndarray) -> tuple[np.nda
     return flags, after
 
 
-class Merges(dict):
-    """Word -> number of tokens, worked out once and kept; cleared when it holds ``limit`` words."""
+class Counter:
+    """Transducer of the bytes of a word whose transitions say how many tokens each byte adds.
+
+    A piece of byte-pair merging ends a word's encoding exactly if it meets the piece before it in an encoding of the
+    two (neighbours decide: merges never cross the ends of final pieces). So a state is the set of tokens that may be
+    under way: for each, its place in the trie of tokens, the token before it, and the count there less the present
+    one. Such states are far too many to list beforehand, and the ones that texts reach are few: transitions are
+    compiled when first met, kept in a hash table, and dropped together beyond ``limit``."""
+
+    SHIFT, ZERO = 10, 512  # a value holds the next state and, in the low bits, what the byte adds plus 512
+    FEW = 24  # words that go on longer than all but these go byte by byte
 
     def __init__(self, path: str, limit: int = 1 << 20):
-        super().__init__()
         spec = json.load(open(path, encoding="utf-8"))["model"]
         vocab, self.limit = spec["vocab"], limit
-        self.byte = [vocab[c] for c in byte_alphabet()]
-        self.pairs = {}
+        alphabet = byte_alphabet()
+        self.byte = [vocab[c] for c in alphabet]
+        self.pairs, self.parts, self.never = {}, {}, len(spec["merges"])
+        self.proper, known = True, set(self.byte)  # proper: each token comes of one pair, after both parts
         for rank, pair in enumerate(spec["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        n = self[word] = len(merge([self.byte[b] for b in word.encode()], self.pairs))
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            a, b, new = vocab[left], vocab[right], vocab[left + right]
+            if (a, b) not in self.pairs:
+                self.proper &= new not in known and a in known and b in known
+                self.pairs[a, b], self.parts[new] = (rank, new), (rank, a, b)
+                known.add(new)
+        of = {c: b for b, c in enumerate(alphabet)}
+        self.text = {i: bytes(of[c] for c in t) for t, i in vocab.items() if i in self.parts or t in of}
+        self.child, self.token = [{}], [-1]
+        for i, t in self.text.items():
+            node = 0
+            for b in t:
+                if b not in self.child[node]:
+                    self.child[node][b] = len(self.child)
+                    self.child.append({})
+                    self.token.append(-1)
+                node = self.child[node][b]
+            self.token[node] = i
+        self._spines = {}
+        self._clear()
+
+    def _clear(self):
+        self.states, self.number, self.fits, self.used = [((0, -1, 0),)], {((0, -1, 0),): 0}, {}, 0
+        self.keys, self.values = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The pieces that stand at the left (1) or right (2) end of a token as it is merged; the rank that ends each."""
+        if (token, side) not in self._spines:
+            out, end, t = [], self.never, token
+            while True:
+                out.append((t, end))
+                if t not in self.parts:
+                    break
+                end, t = self.parts[t][0], self.parts[t][side]
+            self._spines[token, side] = out
+        return self._spines[token, side]
+
+    def _fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` after ``before`` (-1: at a word's start) is how their bytes are encoded."""
+        key = (before + 1) << 32 | token
+        if key not in self.fits:
+            if before >= 0 and self.proper:  # no piece at the end of one meets a piece of the other in a merge
+                met = ((self.pairs.get((a, b)), x, y) for a, x in self._spine(before, 2) for b, y in self._spine(token, 1))
+                self.fits[key] = self._fits(-1, token) and not any(p and p[0] < x and p[0] <= y for p, x, y in met)
+            else:
+                both = [before, token] if before >= 0 else [token]
+                self.fits[key] = merge([self.byte[x] for t in both for x in self.text[t]], self.pairs) == both
+        return self.fits[key]
+
+    def _compile(self, key: int) -> int:
+        s, b = key >> 8, key & 255
+        kept, token, more = [], None, 0
+        for node, before, n in self.states[s]:
+            node = self.child[node].get(b)
+            if node is None:
+                continue
+            if token is None and self.token[node] >= 0 and self._fits(before, self.token[node]):
+                token, more = self.token[node], n + 1
+            if self.child[node]:
+                kept.append((node, before, n))
+        state = (*((node, before, n - more) for node, before, n in kept), (0, token, 0))
+        to = self.number.setdefault(state, len(self.states))
+        if to == len(self.states):
+            self.states.append(state)
+        value = to << self.SHIFT | more + self.ZERO
+        self.used += 1
+        if 3 * self.used > len(self.keys):
+            held = self.keys >= 0
+            keys, values = self.keys[held], self.values[held]
+            self.keys, self.values = np.full(2 * len(self.keys), -1, np.int64), np.zeros(2 * len(self.keys), np.int64)
+            for k, v in zip(keys.tolist(), values.tolist(), strict=True):
+                self._put(k, v)
+        self._put(key, value)
+        return value
+
+    def _slot(self, key):
+        return (key * 0x9E3779B1 >> 15) & len(self.keys) - 1
+
+    def _put(self, key: int, value: int):
+        at = self._slot(key)
+        while self.keys[at] >= 0:
+            at = at + 1 & len(self.keys) - 1
+        self.keys[at], self.values[at] = key, value
+
+    def _one(self, key: int) -> int:
+        at = self._slot(key)
+        while (k := self.keys[at]) != key:
+            if k < 0:
+                return self._compile(key)
+            at = at + 1 & len(self.keys) - 1
+        return int(self.values[at])
+
+    def _many(self, key: np.ndarray) -> np.ndarray:
+        at = self._slot(key)
+        value, new = self.values[at], []
+        rest = np.flatnonzero(self.keys[at] != key)
+        while len(rest):
+            empty = self.keys[at[rest]] < 0
+            new.append(rest[empty])
+            rest = rest[~empty]
+            at[rest] = at[rest] + 1 & len(self.keys) - 1
+            value[rest] = self.values[at[rest]]
+            rest = rest[self.keys[at[rest]] != key[rest]]
+        if new and len(new := np.concatenate(new)):
+            some, back = np.unique(key[new], return_inverse=True)
+            value[new] = np.array([self._one(k) for k in some.tolist()], np.int64)[back]
+        return value
+
+    def _tail(self, data: bytes, state: int) -> int:
+        n = 0
+        for b in data:
+            value = self._one(state << 8 | b)
+            n, state = n + (value & 2 * self.ZERO - 1) - self.ZERO, value >> self.SHIFT
         return n
 
+    def count(self, word: str) -> int:
+        return self._tail(word.encode(), 0)
+
+    def counts(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Tokens of the words ``data[start:stop]``, all of them a byte further at each step."""
+        if self.used >= self.limit:
+            self._clear()
+        order = np.argsort(start - stop, kind="stable")
+        at, long = start[order], (stop - start)[order]
+        going = len(at) - np.cumsum(np.bincount(long)) if len(at) else [0]  # words of more than k bytes
+        state, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for k in range(int(long[0]) if len(at) else 0):
+            m = int(going[k])
+            if m <= self.FEW:
+                for i in range(m):
+                    n[i] += self._tail(data[at[i] + k : at[i] + long[i]].tobytes(), int(state[i]))
+                break
+            value = self._many(state[:m] << 8 | data[at[:m] + k])
+            n[:m] += (value & 2 * self.ZERO - 1) - self.ZERO
+            state = value >> self.SHIFT
+        out = np.empty(len(at), np.int64)
+        out[order] = n
+        return out
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself if printable Latin-1, else one from 256 on, in order."""
@@ -180,20 +323,21 @@ def _merge_long(ids: list[int], pairs: dict) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-_merges: dict[str, Merges] = {}
+@lru_cache(2)
+def _counter(path: str) -> Counter:
+    return Counter(path)
 
 
-def _counter(path: str) -> Merges:
-    if path not in _merges:
-        _merges[path] = Merges(path)
-    return _merges[path]
+def added_tokens(path: str) -> tuple[str, ...]:
+    """The strings that the tokenizer in ``path`` takes as a token each wherever they occur, longest first."""
+    return tuple(sorted((t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens") or ()), key=len, reverse=True))
 
 
 ENTRY = "array<struct<stop:int,back:boolean,cut:boolean,inner:long,head:string,tail:string>>"
 ENTRY_TYPE = pa.list_(pa.struct([("stop", pa.int32()), ("back", pa.bool_()), ("cut", pa.bool_()), ("inner", pa.int64()), ("head", pa.string()), ("tail", pa.string())]))
 
 
-def _count_pieces(pieces: list[str], whole: list[bool], first: list[bool], merges: Merges):
+def _count_pieces(pieces: list[str], whole: list[bool], first: list[bool], counter: Counter):
     """Token count of each whole piece, else the entries of a piece for the states it may start in."""
     counts, entries = [0] * len(pieces), [None] * len(pieces)
     runs = [(k, s) for k, p in enumerate(pieces) if p for s in ((CLOSED,) if first[k] else range(STATES))]
@@ -209,10 +353,9 @@ def _count_pieces(pieces: list[str], whole: list[bool], first: list[bool], merge
     bounds = np.searchsorted(begin, at)
     limits = np.append(begin[1:], len(text))
     limits = np.minimum(limits, at[np.searchsorted(at, begin, side="right")])
-    if len(begin):
-        tokens = np.fromiter(map(merges.__getitem__, map(text.__getitem__, map(slice, begin.tolist(), limits.tolist()))), np.int64, len(begin))
-    else:
-        tokens = np.zeros(0, np.int64)
+    data = np.frombuffer(text.encode(), np.uint8)
+    byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each character starts
+    tokens = counter.counts(data, byte[begin], byte[limits])
     total = np.concatenate(([0], np.cumsum(tokens)))
     for i, (k, _) in enumerate(runs):
         lo, hi = bounds[i], bounds[i + 1]
@@ -226,7 +369,7 @@ def _count_pieces(pieces: list[str], whole: list[bool], first: list[bool], merge
     return counts, entries
 
 
-def compose(entries, merges: Merges) -> int:
+def compose(entries, counter: Counter) -> int:
     """Tokens of a text from the entries of its chunks, in order."""
     state, open_word, n = CLOSED, "", 0
     for entry in entries:
@@ -234,23 +377,24 @@ def compose(entries, merges: Merges) -> int:
             continue
         e = entry[state if len(entry) > 1 else 0]
         if e["back"]:
-            n, open_word = n + (merges[open_word[:-1]] if len(open_word) > 1 else 0), open_word[-1:]
+            n, open_word = n + counter.count(open_word[:-1]), open_word[-1:]
         open_word += e["head"]
         if e["cut"]:
-            n += (merges[open_word] if open_word else 0) + e["inner"]
+            n += counter.count(open_word) + e["inner"]
             open_word = e["tail"]
         state = e["stop"]
     if state in (QR, QV, QL):
-        n, open_word = n + merges[open_word[:-1]], open_word[-1:]
-    return n + (merges[open_word] if open_word else 0)
+        n, open_word = n + counter.count(open_word[:-1]), open_word[-1:]
+    return n + counter.count(open_word)
 
 
-def count_tokens(docs: DataFrame, path: str, special: tuple[str, ...] = ("<|endoftext|>",), chunk: int = CHUNK, limit: int = 1024) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, special: tuple[str, ...] | None = None, chunk: int = CHUNK, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, one row per document, of the byte-level BPE tokenizer in ``path``.
 
-    Strings of ``special`` in a text are a token each. Null and empty texts have no tokens. A null doc_id stays null
+    Strings of ``special`` (None: those that the tokenizer's file adds) in a text are a token each. Null and empty texts have no tokens. A null doc_id stays null
     and repeated rows are counted each on its own, as a row number, not doc_id, holds chunks together. Only the
     chunks' counts and open ends are shuffled, never texts (a word longer than a chunk travels in pieces)."""
+    special = added_tokens(path) if special is None else special
     stop = "|".join("\\Q" + s + "\\E" for s in special) or "(?!)"
     parts = F.split(F.coalesce("text", F.lit("")), stop, -1)
     row = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), parts.alias("parts"))
@@ -258,7 +402,7 @@ def count_tokens(docs: DataFrame, path: str, special: tuple[str, ...] = ("<|endo
     chunks = row.select("row", "doc_id", "n_bytes", (F.size("parts") - 1).alias("marks"), F.explode(cuts).alias("c")).select("row", "doc_id", "n_bytes", "marks", "c.*")
 
     def run(batches):
-        merges = _counter(path)
+        counter = _counter(path)
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
             pieces, whole, nth = get("piece"), get("whole"), get("chunk")
@@ -268,7 +412,7 @@ def count_tokens(docs: DataFrame, path: str, special: tuple[str, ...] = ("<|endo
                 while stop_at < len(pieces) and (stop_at == k or size < 1 << 20):
                     size += len(pieces[stop_at]) * (1 if nth[stop_at] == 0 else STATES)
                     stop_at += 1
-                c, e = _count_pieces(pieces[k:stop_at], whole[k:stop_at], [x == 0 for x in nth[k:stop_at]], merges)
+                c, e = _count_pieces(pieces[k:stop_at], whole[k:stop_at], [x == 0 for x in nth[k:stop_at]], counter)
                 counts, entries, k = counts + c, entries + e, stop_at
             names = ["row", "doc_id", "n_bytes", "marks", "part", "chunk"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(counts, pa.int64()), pa.array(entries, ENTRY_TYPE)], [*names, "n", "entries"])
@@ -276,14 +420,14 @@ def count_tokens(docs: DataFrame, path: str, special: tuple[str, ...] = ("<|endo
     counted = chunks.mapInArrow(run, f"row long, doc_id long, n_bytes long, marks int, part int, chunk int, n long, entries {ENTRY}")
 
     def join_chunks(parts: pd.Series) -> pd.Series:
-        merges = _counter(path)
+        counter = _counter(path)
         out = []
         for chunks in parts:
             n, seen = 0, {}
             for c in chunks:
                 seen.setdefault(c["part"], []).append(c)
             for own in seen.values():
-                n += compose([c["entries"] for c in sorted(own, key=lambda c: c["chunk"])], merges)
+                n += compose([c["entries"] for c in sorted(own, key=lambda c: c["chunk"])], counter)
             out.append(n)
         return pd.Series(out, dtype="int64")
 

@@ -253,6 +253,28 @@ def test_token_counts(spark):
         assert got == want
 
 
+def test_counting_transducer():
+    """Sums of what transitions add are the lengths of merged words, cold, warm, and with a table that is dropped."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(4)
+    parts = ["a", "b", "the", "ing", " ", "-", "=", "\u00e9", "\u6f22", "0", ".", "\n"]
+    words = ["".join(rng.choice(parts) * rng.choice((1, 1, 2, 3, 9, 40)) for _ in range(rng.randint(1, 8))) for _ in range(1500)] + [""]
+    counter, small = token_count.Counter(path), token_count.Counter(path, limit=50)
+    want = [len(token_count.merge([counter.byte[b] for b in w.encode()], counter.pairs)) for w in words]
+    ends = np.cumsum([len(w.encode()) for w in words])
+    data, start = np.frombuffer("".join(words).encode(), np.uint8), np.append(0, ends[:-1])
+    for c in (counter, counter, small):
+        assert c.counts(data, start, ends).tolist() == want
+    assert [small.counts(data[i:j], np.array([0]), np.array([j - i]))[0] for i, j in zip(start, ends, strict=True)] == want
+    assert [counter.count(w) for w in words] == want
+    improper = token_count.Counter(path)
+    improper.proper = False  # neighbours are then merged, not read off their ends
+    ids = [*counter.text]
+    for _ in range(5000):
+        a, b = rng.choice(ids[: rng.choice((400, 3000, 50000))]), rng.choice(ids[: rng.choice((400, 3000, 50000))])
+        assert counter._fits(a, b) == improper._fits(a, b)
+
+
 def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer
 
