@@ -14,6 +14,7 @@ open ends. Entries of a text's chunks compose in order.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -165,7 +166,8 @@ class Counter:
         self._clear()
 
     def _clear(self):
-        self.states, self.number, self.fits, self.used = [((0, -1, 0),)], {((0, -1, 0),): 0}, {}, 0
+        start = array("i", (0, -1, 0)).tobytes()  # triples: trie node, token before, relative count
+        self.states, self.number, self.fits, self.used = [start], {start: 0}, {}, 0
         self.keys, self.values = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int64)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -195,7 +197,8 @@ class Counter:
     def _compile(self, key: int) -> int:
         s, b = key >> 8, key & 255
         kept, token, more = [], None, 0
-        for node, before, n in self.states[s]:
+        state = iter(array("i", self.states[s]))
+        for node, before, n in zip(state, state, state, strict=True):
             node = self.child[node].get(b)
             if node is None:
                 continue
@@ -203,7 +206,7 @@ class Counter:
                 token, more = self.token[node], n + 1
             if self.child[node]:
                 kept.append((node, before, n))
-        state = (*((node, before, n - more) for node, before, n in kept), (0, token, 0))
+        state = array("i", [x for node, before, n in kept for x in (node, before, n - more)] + [0, token, 0]).tobytes()
         to = self.number.setdefault(state, len(self.states))
         if to == len(self.states):
             self.states.append(state)
